@@ -52,10 +52,12 @@ CLOSING = r"(?:(?:kind|best|warm|many)?\s*regards|best(?: wishes)?|thanks|thank
 UNIT_WORDS = 24
 SHAPES = ("plain", "bullet", "table", "field", "log", "code", "encoded", "signs")
 
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _CLAUSAL = {w for words in CLAUSAL.values() for w in words.split()} - {"die", "d", "de", "la", "el", "en", "un", "una", "al", "l", "su", "son", "sa", "mi", "ein", "one", "with", "by", "within", "without", "con", "mit", "avec", "para", "pour", "durch", "t", "s", "m", "n", "c", "o", "y"}
 _COMMON = {k: set(v.split()) for k, v in COMMON.items()}
 _ANY_COMMON = set().union(*_COMMON.values())
+_KNOWN = _CLAUSAL | _ANY_COMMON
 _WORD = re.compile(r"[^\W_]+")
 _QUOTE = re.compile(r"^(?:\s*>)+ ?")
 _GREETING = re.compile(rf"^\W*{GREETING}[^.?!]{{0,40}}[,:!.]?\s*$", re.I)
@@ -155,6 +157,8 @@ def statistics(text: str | None, lang: str | None = None) -> list[float] | None:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
         text = _INVISIBLE.sub("", text)
+    if "<" in text:
+        text = _TAG.sub(" ", text)
     stripped = [x.strip() for x in text.splitlines()]
     stripped = [x for x in stripped if x]
     visible = sum(len(x) for x in stripped) - sum(x.count(" ") + x.count("\t") for x in stripped)
@@ -189,8 +193,12 @@ def statistics(text: str | None, lang: str | None = None) -> list[float] | None:
                     hits += clausal[j]
             rate = max(rate, hits / (size or 1))
         varied = len(set(ws)) / (len(ws) or 1)
-        if 0.03 < rate < 0.09 and ends and len(ws) > 6 and sum(map(_ANY_COMMON.__contains__, ws)) > 0.2 * len(ws):
-            rate = 0.09  # a full stop after enough words of a language
+        if len(ws) > 4:
+            known = sum(map(_KNOWN.__contains__, ws)) / len(ws)
+            if known < 0.13:
+                rate = min(rate, 0.02)  # strings of letters hold a short word by chance
+            elif 0.03 < rate < 0.09 and len(ws) > 6 and varied > 0.6 and (ends and known > 0.2 or known > 0.3):
+                rate = 0.09  # enough words of a language, and a full stop or many of them
         mean += rate * v / total
         if len(ws) > 7 and varied < 0.5:
             repeated += v / total
