@@ -43,8 +43,8 @@ def folder_set(folders: DataFrame) -> DataFrame:
     root; a path below one is in ipm_subtree, others in store_root. A deleted-items folder wins over an ordinary one, else the
     first by folder_key.
     """
-    ipm = folders.where((F.col("source_id") == IPM_SUBTREE) & (F.size("address") == 1)).select("store_id", F.element_at("address", 1).alias("ipm")).distinct()
-    located = folders.join(ipm, (folders["store_id"] == ipm["store_id"]) & (F.get(folders["address"], F.lit(0)) == ipm["ipm"]), "left").drop(ipm["store_id"])
+    ipm = folders.where((F.col("source_id") == IPM_SUBTREE) & (F.size("address") == 1)).select("store_id", F.element_at("address", 1).alias("_top")).distinct().withColumn("ipm", F.col("_top"))
+    located = folders.withColumn("_top", F.get("address", F.lit(0))).join(ipm, ["store_id", "_top"], "left")
     role = F.when((F.col("source_id") == DELETED_ITEMS) & F.col("ipm").isNotNull(), "deleted_items").otherwise("ordinary")
     kept = located.withColumns({"location": F.when(F.col("ipm").isNotNull(), "ipm_subtree").otherwise("store_root"), "role": role})
     return kept.groupBy("store_id", "location", "folder_path").agg(F.min(F.struct((F.col("role") == "ordinary").alias("o"), "folder_key", "source_id", "role")).alias("w"), (F.count("*") - 1).alias("omitted")).select("store_id", "location", "folder_path", "w.source_id", "w.role", "omitted")
