@@ -11,7 +11,7 @@ import struct
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 #: Struct codes and widths of fixed-width property types.
 SCALARS = {0x0002: ("h", 2), 0x0003: ("i", 4), 0x0004: ("f", 4), 0x0005: ("d", 8), 0x0006: ("q", 8), 0x0007: ("d", 8), 0x000A: ("i", 4), 0x0014: ("q", 8), 0x0040: ("Q", 8), 0x0048: ("16s", 16)}
@@ -119,7 +119,7 @@ def rtf_header(data: bytes) -> dict:
     return {"form": form, "raw_size": raw, "consistent": ok}
 
 
-@F.pandas_udf("value string, error string")
+@F.pandas_udf(T.StructType([T.StructField("value", T.StringType()), T.StructField("error", T.StringType())]))
 def decoded(kind: pd.Series, data: pd.Series) -> pd.DataFrame:
     """Column form of decode(): value as JSON text, or what is wrong with it."""
     rows = []

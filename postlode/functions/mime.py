@@ -12,7 +12,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 MOST_ENTRIES = 10_000
 MOST_DIRECTORY = 8 << 20
@@ -106,7 +106,7 @@ def detect(data: bytes | None, filename: str | None) -> str | None:
     return compound_type(data, extension) if data.startswith(COMPOUND) else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _container(data: pd.Series, filename: pd.Series) -> pd.Series:
     return pd.Series([detect(None if d is None else bytes(d), f) for d, f in zip(data, filename, strict=True)], dtype=object)
 
