@@ -80,12 +80,13 @@ def pack(items: DataFrame, limit: int, order: str = "canonical", estimate: Linea
     keys = ORDERS[order]
     depth = F.greatest(F.coalesce(F.size(path), F.lit(0)), F.lit(0))
     first = positioned(items, group, keys, {"bytes": F.coalesce(F.col(payload), F.lit(0)) + estimate.per_item})
-    prior = first.select(group, (F.col("pos") + 1).alias("pos"), F.col(path).alias("_prior"))
+    # a folder of the other location is another folder, whatever its path
+    prior = first.select(group, (F.col("pos") + 1).alias("pos"), F.col(path).alias("_prior"), (F.col("location_rank") if "location_rank" in items.columns else F.lit(0)).alias("_prior_rank"))
     if order == "traversal":
         placed = first.withColumn("_entered", F.lit(0))  # folders recur in any order there; the estimate leaves them out
     else:
         same = F.expr(f"size(filter(sequence(1, greatest(size({path}), 1)), i -> i <= size({path}) and slice({path}, 1, i) = slice(_prior, 1, i)))")
-        placed = first.join(prior, [group, "pos"], "left").withColumn("_entered", F.when(F.col("_prior").isNull() | F.col(path).isNull(), depth).otherwise(depth - same)).drop("_prior")
+        placed = first.join(prior, [group, "pos"], "left").withColumn("_entered", F.when(F.col("_prior").isNull() | F.col(path).isNull() | (F.col("_prior_rank") != (F.col("location_rank") if "location_rank" in items.columns else F.lit(0))), depth).otherwise(depth - same)).drop("_prior", "_prior_rank")
     per = estimate.per_prefix if order != "traversal" else 0
     ranged = positioned(placed.drop("pos", "before_bytes"), group, keys, {"bytes": F.coalesce(F.col(payload), F.lit(0)) + estimate.per_item, "entered": F.col("_entered")})
     # after item j the estimate is fixed + F(j) - G(i); F counts bytes and prefixes up to j, G those before i less the ones i brings itself
