@@ -37,7 +37,7 @@ def trained(statistics: DataFrame, rows: int = TRAIN_ROWS) -> Q.Boosted | None:
     known_rows = statistics.where("junk_estimate is not null")
     # by a bound on the hash first, else every partition would send rows to be sorted and dropped
     share = min(1.0, 2.0 * rows / max(1, known_rows.count()))
-    sample = known_rows.where(F.xxhash64("doc_id") <= int(-(1 << 63) + share * ((1 << 64) - 1024))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toPandas()
+    sample = known_rows.where(F.xxhash64("doc_id") <= min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toPandas()
     labels = [Q.weak_label(r) for r in sample.to_dict("records")]
     known = np.array([v is not None for v in labels], bool)
     y = np.array([v for v in labels if v is not None])
