@@ -58,37 +58,40 @@ def duplicate_keys(items: DataFrame, keys: list[str]) -> DataFrame:
     return items.groupBy(*keys).count().where("count > 1")
 
 
-def positioned(items: DataFrame, group: str, order: list[str], sums: dict[str, Column], parts: int | None = None) -> DataFrame:
-    """Adds pos (0, 1, ... within the group by order) and, for each of sums, its running total before the row.
+def positioned(items: DataFrame, group: str, order: list[str], sums: dict[str, Column], lagged: list[str] | None = None) -> DataFrame:
+    """Adds pos (0, 1, ... within the group by order) and, for each of sums, its running total before the row. A sum may refer to
+    previous, a struct of the lagged columns of the row before in the group (null for the first).
 
     Rows are ranged over partitions; each partition's totals are one row, and only those rows are added up along the order.
     """
-    n = parts or max(2, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    marked = items.withColumns({f"_v_{k}": v.cast("bigint") for k, v in sums.items()})
-    ranged = checkpointed(marked.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
-    local = W.partitionBy(group, "_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
-    across = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    n = max(2, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = checkpointed(items.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    local = W.partitionBy(group, "_part").orderBy("_at")
+    across = W.partitionBy(group).orderBy("_part")
+    to_before = (W.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
-    totals = ranged.groupBy(group, "_part").agg(F.count("*").alias("_n"), *(F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums))
-    before = totals.select(group, "_part", F.coalesce(F.sum("_n").over(across), zero).alias("_n0"), *(F.coalesce(F.sum(f"_t_{k}").over(across), zero).alias(f"_b_{k}") for k in sums))
-    inner = ranged.withColumns({"pos": F.count("*").over(local), **{f"before_{k}": F.coalesce(F.sum(f"_v_{k}").over(local), zero) for k in sums}})
-    return inner.join(before, [group, "_part"]).withColumns({"pos": F.col("pos") + F.col("_n0"), **{f"before_{k}": F.col(f"before_{k}") + F.col(f"_b_{k}") for k in sums}}).drop("_part", "_at", "_n0", *(f"_v_{k}" for k in sums), *(f"_b_{k}" for k in sums))
+    if lagged:
+        last = rows.groupBy(group, "_part").agg(F.max_by(F.struct(*lagged), "_at").alias("_last"))
+        rows = rows.withColumn("_mine", F.lag(F.struct(*lagged)).over(local)).join(last.select(group, "_part", F.lag("_last").over(across).alias("_theirs")), [group, "_part"]).withColumn("previous", F.coalesce("_mine", "_theirs")).drop("_mine", "_theirs")
+    rows = rows.withColumns({f"_v_{k}": v.cast("bigint") for k, v in sums.items()})
+    totals = rows.groupBy(group, "_part").agg(F.count("*").alias("_n"), *(F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums))
+    before = totals.select(group, "_part", F.coalesce(F.sum("_n").over(across.rowsBetween(*to_before)), zero).alias("_n0"), *(F.coalesce(F.sum(f"_t_{k}").over(across.rowsBetween(*to_before)), zero).alias(f"_b_{k}") for k in sums))
+    inner = rows.withColumns({"pos": F.count("*").over(local.rowsBetween(*to_before)), **{f"before_{k}": F.coalesce(F.sum(f"_v_{k}").over(local.rowsBetween(*to_before)), zero) for k in sums}})
+    return inner.join(before, [group, "_part"]).withColumns({"pos": F.col("pos") + F.col("_n0"), **{f"before_{k}": F.col(f"before_{k}") + F.col(f"_b_{k}") for k in sums}}).drop("_part", "_at", "_n0", "previous", *(f"_b_{k}" for k in sums))
 
 
 def pack(items: DataFrame, limit: int, order: str = "canonical", estimate: LinearEstimate = LinearEstimate(), group: str = "store_id", path: str = "folder_path", payload: str = "payload_bytes") -> DataFrame:  # noqa: B008
     """items with pos, part_index (from 1 within the group) and oversize (1 or 0)."""
     keys = ORDERS[order]
     depth = F.greatest(F.coalesce(F.size(path), F.lit(0)), F.lit(0))
-    first = positioned(items, group, keys, {"bytes": F.coalesce(F.col(payload), F.lit(0)) + estimate.per_item})
-    # a folder of the other location is another folder, whatever its path
-    prior = first.select(group, (F.col("pos") + 1).alias("pos"), F.col(path).alias("_prior"), (F.col("location_rank") if "location_rank" in items.columns else F.lit(0)).alias("_prior_rank"))
+    located = items if "location_rank" in items.columns else items.withColumn("location_rank", F.lit(0))
+    # prefixes an item enters are those it doesn't share with the item before; a folder of the other location is another folder
+    same = F.expr(f"size(filter(sequence(1, greatest(size({path}), 1)), i -> i <= size({path}) and slice({path}, 1, i) = slice(previous.{path}, 1, i)))")
+    entered = F.when(F.col(f"previous.{path}").isNull() | F.col(path).isNull() | (F.col("previous.location_rank") != F.col("location_rank")), depth).otherwise(depth - same)
     if order == "traversal":
-        placed = first.withColumn("_entered", F.lit(0))  # folders recur in any order there; the estimate leaves them out
-    else:
-        same = F.expr(f"size(filter(sequence(1, greatest(size({path}), 1)), i -> i <= size({path}) and slice({path}, 1, i) = slice(_prior, 1, i)))")
-        placed = first.join(prior, [group, "pos"], "left").withColumn("_entered", F.when(F.col("_prior").isNull() | F.col(path).isNull() | (F.col("_prior_rank") != (F.col("location_rank") if "location_rank" in items.columns else F.lit(0))), depth).otherwise(depth - same)).drop("_prior", "_prior_rank")
+        entered = F.lit(0)  # folders recur in any order there; the estimate leaves them out
     per = estimate.per_prefix if order != "traversal" else 0
-    ranged = positioned(placed.drop("pos", "before_bytes"), group, keys, {"bytes": F.coalesce(F.col(payload), F.lit(0)) + estimate.per_item, "entered": F.col("_entered")})
+    ranged = positioned(located, group, keys, {"bytes": F.coalesce(F.col(payload), F.lit(0)) + estimate.per_item, "entered": entered}, [path, "location_rank"]).withColumnRenamed("_v_entered", "_entered")
     # after item j the estimate is fixed + F(j) - G(i); F counts bytes and prefixes up to j, G those before i less the ones i brings itself
     value = F.col("before_bytes") + F.coalesce(F.col(payload), F.lit(0)) + estimate.per_item + per * (F.col("before_entered") + F.col("_entered"))
     start = F.col("before_bytes") + per * (F.col("before_entered") + F.col("_entered") - depth)
@@ -115,8 +118,8 @@ def _first_beyond(rows: DataFrame, group: str) -> DataFrame:
     cut = lambda v: F.least(F.greatest(F.floor((v - F.col("_lo")) * F.ceil(F.col("_n") / 20_000) / (F.col("_hi") - F.col("_lo"))), F.lit(-1)), F.ceil(F.col("_n") / 20_000)).cast("bigint")
     values = marked.select(group, cut(F.col("_f")).alias("_r"), F.col("_f").alias("_x"), F.lit(1).alias("_kind"), F.col("pos").alias("_value_pos"), "pos")
     asks = marked.select(group, cut(F.col("_g")).alias("_r"), F.col("_g").alias("_x"), F.lit(2).alias("_kind"), F.lit(None).cast("bigint").alias("_value_pos"), "pos")
-    # values equal to a threshold aren't beyond it: with them sorted first, the next value after the threshold is
-    ahead = W.partitionBy(group, "_r").orderBy("_x", "_kind", "pos").rowsBetween(1, W.unboundedFollowing)
+    # values equal to a threshold aren't beyond it. Falling order makes what lies ahead a running minimum, each row being seen once
+    ahead = W.partitionBy(group, "_r").orderBy(F.desc("_x"), F.desc("_kind"), F.desc("pos")).rowsBetween(W.unboundedPreceding, -1)
     inside = values.unionByName(asks).withColumn("_near", F.min("_value_pos").over(ahead)).where("_kind = 2")
     per_range = values.groupBy(group, "_r").agg(F.min("_value_pos").alias("_m"))
     later = inside.select(group, "_r").distinct().join(per_range.withColumnRenamed("_r", "_q"), group).where("_q > _r").groupBy(group, "_r").agg(F.min("_m").alias("_far"))
@@ -130,13 +133,14 @@ def _chain(pointers: DataFrame, group: str) -> DataFrame:
     jump = pointers.where("nxt is not null").select(group, "pos", "nxt")
     reached = pointers.where("pos = 0").select(group, "pos", F.lit(1).alias("part_index"))
     size = 1
+    known = 0
     while True:
         more = reached.join(jump, [group, "pos"]).select(group, F.col("nxt").alias("pos"), (F.col("part_index") + size).alias("part_index"))
         # the last position a pointer may lead to is beyond the end
         grown = checkpointed(reached.unionByName(more))
-        if grown.count() == reached.count():
+        if (now := grown.count()) == known:
             break
-        reached, size = grown, 2 * size
+        reached, size, known = grown, 2 * size, now
         far = jump.select(group, F.col("pos").alias("nxt"), F.col("nxt").alias("then"))
         jump = checkpointed(jump.join(far, [group, "nxt"]).select(group, "pos", F.col("then").alias("nxt")))
     return reached.join(pointers.select(group, "pos", "_f", "_g"), [group, "pos"])

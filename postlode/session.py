@@ -43,3 +43,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="postlode-checkpoint-", dir=os.environ.get("TMPDIR"))
         sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over at least as many partitions as there are cores, for work that is dear per row; unchanged where the scan already gives
+    that many, as it does for any large input."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(2 * cores, key)
