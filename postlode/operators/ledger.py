@@ -15,9 +15,22 @@ from postlode.schema import PROVENANCE, rank
 # --- keys, parents, duplicates --------------------------------------------------------------------------------------------
 
 
+def numbered(rows: DataFrame, keys: list[str], name: str, block: int = 1 << 16) -> DataFrame:
+    """Adds name: 1, 2, ... within each key by seq, nulls in keys being equal.
+
+    A key may hold a third of all rows. seq is unique within a store, so a window over a key and a block of seq holds at most block
+    rows; counts of the blocks, folded before they are shuffled, are added up per key and joined back.
+    """
+    k = rows.withColumn("_k", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})).withColumn("_b", F.floor(F.col("seq") / block))
+    counts = k.groupBy("_k", "_b").agg(F.count("*").alias("_n"))
+    before = counts.select("_k", "_b", F.coalesce(F.sum("_n").over(W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    local = F.row_number().over(W.partitionBy("_k", "_b").orderBy("seq"))
+    return k.withColumn("_r", local).join(before, ["_k", "_b"]).withColumn(name, (F.col("_r") + F.col("_s")).cast("int")).drop("_k", "_b", "_r", "_s")
+
+
 def with_occurrence(rows: DataFrame) -> DataFrame:
     """Adds occurrence: how many earlier rows (by seq) have the same store, provenance, node and recovery index, nulls being equal."""
-    return rows.withColumn("occurrence", (F.row_number().over(W.partitionBy("store_id", "provenance", "source_node_id", "recovery_index").orderBy("seq")) - 1).cast("int"))
+    return numbered(rows, ["store_id", "provenance", "source_node_id", "recovery_index"], "occurrence").withColumn("occurrence", F.col("occurrence") - 1)
 
 
 def item_key(provenance="provenance", node="source_node_id", index="recovery_index", occurrence="occurrence") -> Column:
@@ -39,14 +52,16 @@ def first_wins(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, issues): of top-level rows with the same non-zero node, the first by provenance and seq is kept, later ones are issues.
     Node 0, null nodes and embedded rows are always kept."""
     open_ = F.coalesce(F.col("source_node_id") == 0, F.lit(True)) | (F.col("embedded_depth") > 0)
-    n = F.row_number().over(W.partitionBy("store_id", "source_node_id").orderBy(rank("provenance", PROVENANCE), "seq"))
-    exempt, checked = candidates.where(open_), candidates.where(~open_).withColumn("_n", n)
-    return exempt.unionByName(checked.where("_n = 1").drop("_n")), checked.where("_n > 1").drop("_n")
+    exempt, checked = candidates.where(open_), candidates.where(~open_)
+    first = checked.groupBy("store_id", "source_node_id").agg(F.min(F.struct(rank("provenance", PROVENANCE).alias("r"), "seq")).alias("f")).select("store_id", "source_node_id", F.col("f.seq").alias("_first"))
+    judged = checked.join(first, ["store_id", "source_node_id"])
+    kept, later = (judged.where(c).select(*candidates.columns) for c in ("seq = _first", "seq <> _first"))
+    return exempt.unionByName(kept), later
 
 
 def numbered_events(events: DataFrame) -> DataFrame:
     """Adds sequence: 1, 2, ... per item in the order of seq."""
-    return events.withColumn("sequence", F.row_number().over(W.partitionBy("store_id", "item_key").orderBy("seq")).cast("int"))
+    return numbered(events, ["store_id", "item_key"], "sequence")
 
 
 def stored_blobs(payloads: DataFrame) -> DataFrame:
@@ -63,9 +78,9 @@ def with_pack_offsets(blobs: DataFrame) -> DataFrame:
     """Adds pack_offset: the running sum of lengths per store in the order of the hash.
 
     A store may hold a third of all blobs, so no window spans a store: blobs are range-partitioned by (store, hash prefix), summed
-    per prefix, and offsets are the sum over smaller prefixes (at most 256 to a store) plus a window within one prefix.
+    per prefix, and offsets are the sum over smaller prefixes (at most 4,096 to a store) plus a window within one prefix.
     """
-    b = blobs.withColumn("_p", F.substring("sha256", 1, 2))
+    b = blobs.withColumn("_p", F.substring("sha256", 1, 3))
     sums = b.groupBy("store_id", "_p").agg(F.sum("byte_len").alias("_s"))
     before = F.coalesce(F.sum("_s").over(W.partitionBy("store_id").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     within = F.coalesce(F.sum("byte_len").over(W.partitionBy("store_id", "_p").orderBy("sha256").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -19,18 +19,21 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "messages").dropDuplicates(["store_id", "seq"])
 
 
-def candidates(spark: SparkSession, sf: str) -> DataFrame:
+def candidate_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates before they get a key and a parent."""
     m = messages(spark, sf)
     gone = F.coalesce("removed", F.lit(False))
     status = F.when(gone, "failed").when(~L.supported_class(F.coalesce("message_class", F.lit("")), F.size("embedded_path") > 0) | ~F.coalesce("supported", F.lit(False)), "unsupported").when(F.col("seq") % 3 == 0, "written").otherwise("spooled")
     completeness = F.when(F.col("message_class").isNull(), "damaged").when(F.col("submit_filetime").isNull(), "partial").otherwise("complete")
-    rows = m.select(
+    return m.select(
         "store_id", "seq", "provenance", F.col("message_id").alias("source_node_id"), "recovery_index", "parent_message_id", "parent_attachment_index", "folder_id", "message_class", "associated",
         F.coalesce(F.to_json("embedded_path"), F.lit("[]")).alias("embedded_path_json"), "embedded_path", F.size(F.coalesce("embedded_path", F.array().cast("array<int>"))).alias("embedded_depth"),
         completeness.alias("completeness"), status.alias("status"),
     )
-    keyed = L.with_occurrence(rows).withColumn("item_key", L.item_key())
-    return L.with_parent(keyed)
+
+
+def candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return L.with_parent(L.with_occurrence(candidate_rows(spark, sf)).withColumn("item_key", L.item_key()))
 
 
 _CANDIDATES = """
@@ -52,15 +55,24 @@ cand AS (SELECT keyed.*, par.parent_item_key FROM keyed LEFT JOIN par USING (sto
 """
 
 
-def events(spark: SparkSession, sf: str, cands: DataFrame) -> DataFrame:
-    """candidate_events: recipients and attachments of the last candidate with their message id, numbered by seq."""
+def unnumbered_events(spark: SparkSession, sf: str, cands: DataFrame) -> DataFrame:
+    """Recipients and attachments as events of the last candidate with their message id."""
     owner = cands.where("source_node_id is not null").groupBy("store_id", F.col("source_node_id").alias("message_id")).agg(F.max_by("item_key", "seq").alias("item_key"))
     r = table(spark, sf, "recipients").dropDuplicates(["store_id", "seq"]).select("store_id", "seq", "message_id", F.lit("recipient").alias("kind"), F.to_json(F.struct("display_name")).alias("metadata_json"), F.lit(None).cast("string").alias("blob_sha256"), F.lit(None).cast("bigint").alias("byte_len"))
     a = table(spark, sf, "attachments").dropDuplicates(["store_id", "seq"]).select(
         "store_id", "seq", "message_id", F.when(F.col("data_size").isNull(), "attachment_missing").when(F.col("attachment_type").isin(2, 3, 4, 7), "attachment_reference").otherwise("attachment_data").alias("kind"),
         F.to_json(F.struct("filename")).alias("metadata_json"), F.when(F.col("data_size").isNotNull(), F.sha2("filename", 256)).alias("blob_sha256"), F.when(F.col("filename").isNotNull(), F.col("data_size")).alias("byte_len"),
     )
-    return L.numbered_events(r.unionByName(a).join(owner, ["store_id", "message_id"]))
+    return r.unionByName(a).join(owner, ["store_id", "message_id"])
+
+
+def events(spark: SparkSession, sf: str, cands: DataFrame) -> DataFrame:
+    """candidate_events: unnumbered_events numbered by seq."""
+    return L.numbered_events(unnumbered_events(spark, sf, cands))
+
+
+def blobs(spark: SparkSession, sf: str, cands: DataFrame) -> DataFrame:
+    return L.with_pack_offsets(L.stored_blobs(unnumbered_events(spark, sf, cands).select("store_id", F.col("blob_sha256").alias("sha256"), "byte_len")))
 
 
 _EVENTS = (
@@ -80,11 +92,9 @@ packed AS (SELECT *, coalesce(sum(byte_len) OVER (PARTITION BY store_id ORDER BY
 def tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """The ledger tables. Every fourth top-level written item forms a part of its own; one part in seven is marked oversize."""
     c = candidates(spark, sf)
-    e = events(spark, sf, c)
-    blobs = L.with_pack_offsets(L.stored_blobs(e.select("store_id", F.col("blob_sha256").alias("sha256"), "byte_len")))
     items = c.where("status = 'written' and seq % 5 <> 0").select("store_id", (F.floor(F.col("seq") / 50) + 1).cast("int").alias("part_index"), "item_key")
     parts = c.where("status = 'written'").select("store_id", (F.floor(F.col("seq") / 50) + 1).cast("int").alias("part_index")).distinct().withColumn("oversize", F.when(F.col("part_index") % 7 == 0, 1).otherwise(0))
-    return {"candidates": c, "candidate_events": e, "blobs": blobs, "part_items": items, "parts": parts}
+    return {"candidates": c, "candidate_events": events(spark, sf, c), "blobs": blobs(spark, sf, c), "part_items": items, "parts": parts}
 
 
 _TABLES = (
@@ -118,6 +128,11 @@ def _on(f):
     return lambda spark, sf: f(candidates(spark, sf))
 
 
+def _on_rows(f):
+    """A query over the candidates that needs neither keys nor parents."""
+    return lambda spark, sf: f(candidate_rows(spark, sf))
+
+
 def _rule(name: str):
     return lambda spark, sf: I.RULES[name](tables(spark, sf))
 
@@ -126,16 +141,16 @@ def _tree(c: DataFrame) -> DataFrame:
     return R.trees(checkpointed(c.select("store_id", "item_key", "parent_item_key", "status", "source_node_id")), ["spooled", "written", "unsupported"])
 
 
-def _events(f):
+def _events(f, number: bool = True):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         c = candidates(spark, sf)
-        return f(c, events(spark, sf, c))
+        return f(c, (events if number else unnumbered_events)(spark, sf, c))
 
     return run
 
 
 def _blobs(spark: SparkSession, sf: str) -> DataFrame:
-    return tables(spark, sf)["blobs"]
+    return blobs(spark, sf, candidates(spark, sf))
 
 
 def _event_join(c: DataFrame, e: DataFrame) -> DataFrame:
@@ -160,18 +175,18 @@ def packing_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "A01_job_summary": _on(lambda c: L.job_summary(c)),
-    "A01_job_summary_by_store": _on(lambda c: L.job_summary(c, ["store_id"])),
-    "A21_items_by_provenance": _on(lambda c: c.groupBy("provenance").agg(F.count("*").alias("items"), F.countDistinct("store_id").alias("stores"))),
+    "A01_job_summary": _on_rows(lambda c: L.job_summary(c)),
+    "A01_job_summary_by_store": _on_rows(lambda c: L.job_summary(c, ["store_id"])),
+    "A21_items_by_provenance": _on_rows(lambda c: c.groupBy("provenance").agg(F.count("*").alias("items"), F.countDistinct("store_id").alias("stores"))),
     "R04_R05_item_keys": _on(lambda c: c.select("store_id", "seq", "item_key", "occurrence")),
     "R06_parent_lookup": _on(lambda c: c.where("parent_item_key is not null").select("store_id", "item_key", "parent_item_key")),
     "R01_stranded_descendants": _on(lambda c: R.stranded(checkpointed(c.select("store_id", "item_key", "parent_item_key", "status")))),
     "R02_R03_candidate_trees": _on(lambda c: _tree(c)),
     "A13_tree_sizes": _on(lambda c: R.tree_sizes(_tree(c)).select("store_id", F.col("root").alias("item_key"), "mails", "depth")),
-    "W02_first_wins_kept": _on(lambda c: L.first_wins(c)[0].select("store_id", "seq")),
-    "W02_first_wins_issues": _on(lambda c: L.first_wins(c)[1].select("store_id", "seq", "source_node_id")),
+    "W02_first_wins_kept": _on_rows(lambda c: L.first_wins(c)[0].select("store_id", "seq")),
+    "W02_first_wins_issues": _on_rows(lambda c: L.first_wins(c)[1].select("store_id", "seq", "source_node_id")),
     "W03_W04_event_sequence": _events(lambda c, e: e.select("store_id", "item_key", "sequence", "kind")),
-    "J01_events_with_candidates": _events(_event_join),
+    "J01_events_with_candidates": _events(_event_join, number=False),
     "J02_J03_events_with_blobs": lambda spark, sf: (lambda t: t["candidate_events"].join(t["blobs"].select("store_id", F.col("sha256").alias("blob_sha256"), F.col("byte_len").alias("stored"), "storage_class"), ["store_id", "blob_sha256"], "left").groupBy("kind", "storage_class").agg(F.count("*").alias("events"), F.count_if(F.col("byte_len") == F.col("stored")).alias("equal_length")))(tables(spark, sf)),
     "J04_candidates_with_missing_events": _events(lambda c, e: c.join(e.where("kind = 'attachment_missing'").select("store_id", "item_key", "sequence"), ["store_id", "item_key"], "left").groupBy("status").agg(F.count("*").alias("rows"), F.count("sequence").alias("missing"))),
     "J06_parts_with_items": lambda spark, sf: (lambda t: t["parts"].join(t["part_items"], ["store_id", "part_index"], "left_semi").select("store_id", "part_index"))(tables(spark, sf)),
@@ -182,13 +197,13 @@ QUERIES = {
     "K05_blob_dedup": lambda spark, sf: _blobs(spark, sf).select("store_id", "sha256", "byte_len", "references", "conflicting"),
     "K06_storage_class": lambda spark, sf: _blobs(spark, sf).groupBy("storage_class").agg(F.count("*").alias("blobs"), F.sum("byte_len").alias("bytes")),
     "A02_A06_blob_totals": lambda spark, sf: L.blob_totals(_blobs(spark, sf)),
-    "A05_next_sequence": _events(lambda c, e: e.groupBy("store_id", "item_key").agg((F.max("sequence") + 1).alias("next_sequence"))),
-    "A07_rejections_by_class": _on(lambda c: c.where("status = 'unsupported'").groupBy(F.coalesce(F.lower("message_class"), F.lit("-")).alias("category")).agg(F.count("*").alias("n"))),
-    "A12_capped_issues": _on(lambda c: L.capped(L.first_wins(c)[1].select("store_id", "seq"), ["store_id", "seq"])[1]),
+    "A05_next_sequence": _events(lambda c, e: e.groupBy("store_id", "item_key").agg((F.count("*") + 1).alias("next_sequence")), number=False),
+    "A07_rejections_by_class": _on_rows(lambda c: c.where("status = 'unsupported'").groupBy(F.coalesce(F.lower("message_class"), F.lit("-")).alias("category")).agg(F.count("*").alias("n"))),
+    "A12_capped_issues": _on_rows(lambda c: L.capped(L.first_wins(c)[1].select("store_id", "seq"), ["store_id", "seq"])[1]),
     "L01_keyset_page": _on(lambda c: L.keyset_page(c.where("store_id = 1").select("seq", "item_key"), 1000)),
     "L03_latest_candidate": _on(lambda c: c.where("source_node_id is not null").groupBy("store_id", "source_node_id").agg(F.max_by("item_key", "seq").alias("item_key"))),
     "O01_canonical_order": lambda spark, sf: P.positioned(packing_items(spark, sf), "store_id", P.ORDERS["canonical"], {}).select("store_id", "item_key", "pos"),
-    "O02_text_order": _on(lambda c: C.ranked(c, ["store_id"], [F.col(x).asc_nulls_first() for x in ("provenance", "source_node_id", "recovery_index", "occurrence")]).select("store_id", "item_key", "n")),
+    "O02_text_order": _on(lambda c: P.positioned(c, "store_id", ["provenance", "source_node_id", "recovery_index", "occurrence"], {}).select("store_id", "item_key", (F.col("pos") + 1).alias("n"))),
     "O06_embedded_order": _on(lambda c: C.ranked(c.where("parent_item_key is not null"), ["store_id", "parent_item_key"], [F.col("embedded_path_json"), F.col("item_key")]).select("store_id", "item_key", "n")),
     "U04_multiset_difference": lambda spark, sf: L.multiset_difference(*(messages(spark, sf).where(w).select(F.coalesce("sender_email", F.lit("-")).alias("sender_email")) for w in ("seq % 2 = 0", "seq % 2 = 1")), ["sender_email"]),
     "G01_packing": packing,

@@ -19,11 +19,11 @@ def inventory(spark: SparkSession, sf: str) -> DataFrame:
 
 def split(spark: SparkSession, sf: str) -> DataFrame:
     parts = P.parts_table(P.pack(B.packing_items(spark, sf), B.PART_LIMIT))
-    return R.split_report(L.job_summary(B.candidates(spark, sf)), parts)
+    return R.split_report(L.job_summary(B.candidate_rows(spark, sf)), parts)
 
 
 def recovery_json(spark: SparkSession, sf: str) -> DataFrame:
-    return R.as_json(L.job_summary(B.candidates(spark, sf)), "recover")
+    return R.as_json(L.job_summary(B.candidate_rows(spark, sf)), "recover")
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,7 +47,7 @@ QUERIES = {
     "A09_A10_inventory": inventory,
     "A15_A17_split_report": split,
     "K14_recovery_json": recovery_json,
-    "A24_state_digest": lambda spark, sf: R.state_digest(L.blob_totals(B.tables(spark, sf)["blobs"])),
+    "A24_state_digest": lambda spark, sf: R.state_digest(L.blob_totals(B.blobs(spark, sf, B.candidates(spark, sf)))),
     "J15_reconciliation": reconciliation,
     "U03_A04_distinct_json_values": lambda spark, sf: events(spark, sf).select(F.get_json_object("props", "$.k").alias("k")).distinct(),
     "F36_P07_json_types": lambda spark, sf: events(spark, sf).groupBy("event_type").agg(F.count_if(F.expr("schema_of_variant(try_parse_json(props)) like 'OBJECT%'")).alias("objects"), F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("k_sum")),
