@@ -209,7 +209,7 @@ QUERIES = {
     "G01_packing": packing,
     "G01_A18_part_estimates": packing_parts,
     **{n: _rule(n) for n in _RULES_SQL},
-    "I_all_rules": lambda spark, sf: I.report(tables(spark, sf)).where("rule not like 'X%'"),
+    "I_all_rules": lambda spark, sf: I.report({k: checkpointed(t) for k, t in tables(spark, sf).items()}).where("rule not like 'X%'"),
 }
 
 _TREES = """, kept AS (SELECT store_id, item_key, parent_item_key FROM cand WHERE status IN ('spooled', 'written', 'unsupported')),
