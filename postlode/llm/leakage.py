@@ -30,6 +30,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from postlode.session import spread
+
 WINDOW = 12
 SHINGLE = 4
 #: Shingles of item texts that may be broadcast, about 100 bytes each.
@@ -101,7 +103,7 @@ def _scan(documents: DataFrame, each, schema: str, columns: pa.Schema, last=None
             rows = list(last(state))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[] for _ in columns], columns, strict=True)], schema=columns)
 
-    return documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, schema)
+    return spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"), "doc_id").mapInArrow(run, schema)
 
 
 def leaks(spark: SparkSession, documents: DataFrame, items: DataFrame, limit: int = LIMIT) -> DataFrame:
