@@ -24,7 +24,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from postlode.session import checkpointed
+from postlode.session import checkpointed, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the tokenizer's vocabulary expects a text to be split before merging.
@@ -60,7 +60,7 @@ def measured(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([count_tokens(t, path) for t in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "tokens"])
 
     # \S in the JVM knows ASCII only; Unicode white space counts as blank too
-    return documents.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"(?U)\S")).select("doc_id", "text").mapInArrow(run, "doc_id bigint, tokens bigint").groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
+    return spread(documents.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"(?U)\S")).select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id bigint, tokens bigint").groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
 
 
 class Tournament:
