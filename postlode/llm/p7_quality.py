@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlode.llm import holdout, quality as Q
-from postlode.session import checkpointed, table
+from postlode.session import checkpointed, spread, table
 
 #: Most rows the classifier is trained on; they are those of least hash of their id.
 TRAIN_ROWS = 6_000
@@ -29,7 +29,7 @@ def text_statistics(documents: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in Q.NAMES]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.float64()) for c in columns)], schema=_DOUBLES)
 
-    return documents.select("doc_id", "text", "lang").mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} double" for n in Q.NAMES))
+    return spread(documents.select("doc_id", "text", "lang"), "doc_id").mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} double" for n in Q.NAMES))
 
 
 def trained(statistics: DataFrame, rows: int = TRAIN_ROWS) -> Q.Boosted | None:
