@@ -119,6 +119,46 @@ def rtf_header(data: bytes) -> dict:
     return {"form": form, "raw_size": raw, "consistent": ok}
 
 
+#: Fixed value: what the dictionary of compressed RTF holds at the start.
+RTF_START = (
+    "{\\rtf1\\ansi\\mac\\deff0\\deftab720{\\fonttbl;}{\\f0\\fnil \\froman \\fswiss \\fmodern \\fscript \\fdecor MS Sans SerifSymbolArial"
+    "Times New RomanCourier{\\colortbl\\red0\\green0\\blue0\r\n\\par \\pard\\plain\\f0\\fs20\\b\\i\\u\\tab\\tx"
+)
+
+
+def rtf(data: bytes) -> bytes:
+    """The text of a compressed RTF stream: a ring of 4,096 bytes, control bits from the least on, and a reference to the write position
+    as the end. ValueError if the header, a check or the end is wrong."""
+    head = rtf_header(data)
+    if not head["consistent"]:
+        raise ValueError("size or CRC")
+    if head["form"] == "plain":
+        return data[16:]
+    ring, at, out, i = bytearray(RTF_START.encode().ljust(4096, b"\0")), len(RTF_START), bytearray(), 16
+    while i < len(data):
+        control, i = data[i], i + 1
+        for bit in range(8):
+            if i >= len(data):
+                break
+            if not control >> bit & 1:
+                ring[at], i = data[i], i + 1
+                out.append(ring[at])
+                at = (at + 1) & 4095
+                continue
+            if i + 1 >= len(data):
+                raise ValueError("cut within a reference")
+            pair, i = data[i] << 8 | data[i + 1], i + 2
+            start, length = pair >> 4, (pair & 15) + 2
+            if start == at:
+                return bytes(out[: head["raw_size"]])
+            for k in range(length):
+                byte = ring[(start + k) & 4095]
+                out.append(byte)
+                ring[at] = byte
+                at = (at + 1) & 4095
+    raise ValueError("no end")
+
+
 @F.pandas_udf(T.StructType([T.StructField("value", T.StringType()), T.StructField("error", T.StringType())]))
 def decoded(kind: pd.Series, data: pd.Series) -> pd.DataFrame:
     """Column form of decode(): value as JSON text, or what is wrong with it."""

@@ -183,3 +183,30 @@ def latest(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column], name: str = "n") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+
+
+def display_names(m: DataFrame) -> DataFrame:
+    """Display name of associated messages: their sender's name, else their subject, else (no subject)."""
+    return m.where("associated").select("store_id", "seq", F.coalesce(F.nullif("sender_name", F.lit("")), F.nullif("subject", F.lit("")), F.lit("(no subject)")).alias("display_name"))
+
+
+def propagated_rejections(candidates: DataFrame) -> DataFrame:
+    """(store_id, item_key, category): unsupported items with their own category, and every item above one of them, which then can't be
+    written whole, as item_graph_dependency_rejected. An item that is both keeps its own."""
+    from postlode.operators.recursion import descend
+
+    own = candidates.where("status = 'unsupported'").select("store_id", "item_key")
+    upward = candidates.where("parent_item_key is not null").select("store_id", F.col("parent_item_key").alias("item_key"), F.col("item_key").alias("parent"))
+    above = descend(own, upward, ["store_id", "item_key"]).where("depth > 0").select("store_id", "item_key").distinct().join(own, ["store_id", "item_key"], "left_anti")
+    return own.withColumn("category", F.lit("source_item_unsupported")).unionByName(above.withColumn("category", F.lit("item_graph_dependency_rejected")))
+
+
+def part_folders(items: DataFrame, folders: DataFrame) -> DataFrame:
+    """(store_id, part_index, prefix) of the folders a part holds: part 1 all of the store's, later ones those above their mail.
+
+    items: store_id, part_index, folder_path; folders: store_id, folder_path. Null and empty paths have no folders."""
+    from postlode.operators.ledger import folder_prefixes
+
+    prefixes = lambda d, *c: d.select(*c, F.explode(folder_prefixes("folder_path")).alias("prefix")).distinct()
+    first = items.where("part_index = 1").select("store_id").distinct()
+    return prefixes(items, "store_id", "part_index").unionByName(prefixes(folders.join(first, "store_id", "left_semi").withColumn("part_index", F.lit(1)), "store_id", "part_index")).distinct()

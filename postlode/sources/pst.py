@@ -3,7 +3,7 @@
     spark.dataSource.register(PstDataSource)
     spark.read.format("pst").option("table", "messages").load("/data/*.pst")
 
-Tables: stores, folders, messages, recipients, attachments, properties, nodes, issues. A file is split by ranges of node ids, so one
+Tables: stores, folders, messages, recipients, attachments, properties, nodes, updates, named_properties, issues. A file is split by ranges of node ids, so one
 large store is read by many tasks; each descends the B-trees for the nodes it needs and holds a few pages. A broken node gives a row
 of the issues table instead of failing the scan. Options: ``payload`` none, prefix or full with ``prefix_bytes`` (property and
 attachment bytes are only cut out as far as asked for), ``nodes_per_task``, ``substitution`` and ``keys`` (the coding tables as
@@ -34,6 +34,8 @@ SCHEMAS = {
     "properties": "path string, owner string, owner_id bigint, property_id int, property_type int, byte_len bigint, data binary",
     "nodes": "path string, nid bigint, node_type string, parent_nid bigint, data_bid bigint, sub_bid bigint",
     "issues": "path string, nid bigint, detail string",
+    "updates": "path string, position bigint, kind string, first_nid bigint, second_nid bigint",
+    "named_properties": "path string, property_id int, property_set string, number bigint, name string",
 }
 _INLINE = {0x0002, 0x0003, 0x0004, 0x000A, 0x000B, 0x0001}
 DEEPEST = 256
@@ -280,6 +282,42 @@ class Heap:
                 yield out
 
 
+#: Kinds of records in the search update queue, in the order of their numbers from 0; a record takes 20 bytes.
+UPDATES = [
+    "null", "message_added", "message_modified", "message_deleted", "message_moved", "folder_added", "folder_modified", "folder_deleted", "folder_moved",
+    "search_added", "search_modified", "search_deleted", "message_row_modified", "message_spam", "indexed_message_deleted", "message_indexed",
+]
+
+
+def search_updates(store: Store, nid: int = 0x1E1) -> Iterator[tuple[int, str | None, int, int]]:
+    """(position, kind, first node, second node) of the store's queue of changes, oldest first; a cut record at the end is left out."""
+    found = store.node(nid)
+    raw = b"".join(store.blocks(found[0])) if found else b""
+    for at in range(0, len(raw) - 19, 20):
+        kind, first, second = struct.unpack_from("<2xHII", raw, at)
+        yield at // 20, UPDATES[kind] if kind < len(UPDATES) else None, first, second
+
+
+def named_properties(store: Store) -> Iterator[tuple[int, str, int | None, str | None]]:
+    """(property id, set as hexadecimal, number, name) of the store's map of named properties."""
+    found = store.node(0x61)
+    if not found:
+        return
+    h = Heap(store, *found)
+    bag = h.bag()
+    stream = lambda i: h.raw(bag[i]) if i in bag else b""
+    sets, entries, names = stream(0x0002), stream(0x0003), stream(0x0004)
+    for at in range(0, len(entries) - 7, 8):
+        value, packed, index = struct.unpack_from("<IHH", entries, at)
+        which = packed >> 1
+        guid = {0: "", 1: "2803020000000000c000000000000046", 2: "2903020000000000c000000000000046"}.get(which) if which < 3 else sets[16 * (which - 3) : 16 * (which - 2)].hex()
+        if packed & 1:
+            size = struct.unpack_from("<I", names, value)[0]
+            yield 0x8000 + index, guid, None, names[value + 4 : value + 4 + size].decode("utf-16-le", "replace")
+        else:
+            yield 0x8000 + index, guid, value, None
+
+
 # --- scanning a store -----------------------------------------------------------------------------------------------------
 
 
@@ -425,7 +463,7 @@ class PstReader(DataSourceReader):
         paths = sorted(glob.glob(os.path.join(given, "*.pst")) if os.path.isdir(given) else glob.glob(given))
         step, out = int(self.options.get("nodes_per_task", 10_000)), []
         for path in paths:
-            if self.table in ("stores",):
+            if self.table in ("stores", "updates", "named_properties"):
                 out.append(NodeRange(path, 0, 1 << 32))
                 continue
             try:
@@ -444,7 +482,8 @@ class PstReader(DataSourceReader):
                 yield partition.path, None, str(e)[:300]
             return
         scan = Scan(store, partition.path, self.options.get("payload", "none"), int(self.options.get("prefix_bytes", 4096)), self.options.get("mode", "balanced"))
-        yield from [scan.summary()] if self.table == "stores" else scan.rows(self.table, range(partition.first, partition.last))
+        whole = {"stores": lambda: [scan.summary()], "updates": lambda: ((partition.path, *u) for u in search_updates(store)), "named_properties": lambda: ((partition.path, *p) for p in named_properties(store))}
+        yield from whole[self.table]() if self.table in whole else scan.rows(self.table, range(partition.first, partition.last))
 
 
 class PstDataSource(DataSource):

@@ -144,6 +144,9 @@ def store(messages: int = 40, orphan: bool = True) -> bytes:
     """A store with a root folder, an inbox of messages (the first with an embedded one and a large attachment), and an orphan."""
     w = Writer()
     w.node(0x21, 0, bag({0x3001: u("Test store")}))
+    w.node(0x1E1, 0, struct.pack("<2xHII8x", 1, 7, 8) + struct.pack("<2xHII8x", 99, 5, 0) + b"cut")
+    name = "Keywords".encode("utf-16-le")
+    w.node(0x61, 0, bag({0x2: (0x0102, bytes(range(16))), 0x3: (0x0102, struct.pack("<IHHIHH", 0x8501, 3 << 1, 0, 0, 2 << 1 | 1, 1)), 0x4: (0x0102, struct.pack("<I", len(name)) + name)}))
     w.node(ROOT, ROOT, bag({0x3001: u("Root")}))
     w.node(INBOX, ROOT, bag({0x3001: u("Inbox"), 0x3613: u("IPF.Note"), 0x3602: i(messages)}))
     ids = [0x200004 + 32 * k for k in range(messages)]

@@ -66,6 +66,19 @@ def test_crc_signature_rtf():
     assert mapi.keywords_valid(["x" * 255]) and not mapi.keywords_valid(["x" * 256]) and not mapi.keywords_valid(["😀" * 128])
 
 
+def test_compressed_rtf():
+    # "{\\rtf1" from the dictionary's start, "hello" spelled, a repeated run, and the end
+    start = len(mapi.RTF_START)
+    ref = lambda at, n: struct.pack(">H", at << 4 | n - 2)
+    body = bytes([0b01000001]) + ref(0, 6) + b"hello" + ref(start + 6, 5) + b"!" + bytes([0b1]) + ref(start + 17, 2)
+    stream = struct.pack("<IIII", len(body) + 12, 17, 0x75465A4C, mapi.crc(body)) + body
+    assert mapi.rtf(stream) == b"{\\rtf1hellohello!" and start == 207
+    assert mapi.rtf(struct.pack("<IIII", 12 + 4, 4, 0x414C454D, 0) + b"{\\r}") == b"{\\r}"
+    cut = body[:-3]
+    with pytest.raises(ValueError):
+        mapi.rtf(struct.pack("<IIII", len(cut) + 12, 17, 0x75465A4C, mapi.crc(cut)) + cut)
+
+
 def test_columns(spark):
     df = spark.createDataFrame([(3, bytearray(struct.pack("<i", -2))), (3, bytearray(b"\0")), (None, bytearray(b"x")), (0x1F, None)], "k int, d binary")
     got = [(r.x.value, r.x.error is not None) for r in df.select(mapi.decoded("k", "d").alias("x")).collect()]

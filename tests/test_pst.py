@@ -60,3 +60,10 @@ def test_damage_is_an_issue_not_a_failure(spark, folder, tmp_path):
     (tmp_path / "damaged.pst").write_bytes(data)
     assert read(spark, tmp_path, "messages").count() == 5  # four, and one embedded
     assert [r.detail for r in read(spark, tmp_path, "issues").collect() if "check" in r.detail]
+
+
+def test_queue_and_named_properties(spark, folder):
+    u = read(spark, folder, "updates").where("path like '%a.pst'").orderBy("position").collect()
+    assert [(r.kind, r.first_nid, r.second_nid) for r in u] == [("message_added", 7, 8), (None, 5, 0)]
+    p = read(spark, folder, "named_properties").where("path like '%a.pst'").orderBy("property_id").collect()
+    assert [(r.property_id, r.property_set, r.number, r.name) for r in p] == [(0x8000, bytes(range(16)).hex(), 0x8501, None), (0x8001, "2903020000000000c000000000000046", None, "Keywords")]
