@@ -109,7 +109,7 @@ def _scan(documents: DataFrame, each, schema: str, columns: pa.Schema, last=None
 def leaks(spark: SparkSession, documents: DataFrame, items: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(doc_id, item_id) of every document that holds WINDOW consecutive words of the item's passage or question."""
     texts = item_texts(items)
-    size = texts.agg(F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("n")).first()["n"] // 4  # a word and the gap after it take two characters at least
+    size = texts.agg(F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("n")).first()["n"] // 2  # a word and the gap after it take two characters at least
     return _leaks_broadcast(spark, documents, texts) if size <= limit else _leaks_joined(documents, texts)
 
 
