@@ -149,9 +149,9 @@ def capped(issues: DataFrame, order: list[str], cap: int = 10_000) -> tuple[Data
     return issues.orderBy(*order).limit(cap), issues.agg(F.greatest(F.count("*") - cap, F.lit(0)).alias("dropped"))
 
 
-def keyset_page(rows: DataFrame, after: int, size: int = 1024) -> DataFrame:
-    """The next size rows with seq beyond after, by seq."""
-    return rows.where(F.col("seq") > after).orderBy("seq").limit(size)
+def keyset_page(rows: DataFrame, after: tuple[int, int], size: int = 1024) -> DataFrame:
+    """The next size rows beyond (store_id, seq), in that order. The page is the feature."""
+    return rows.where((F.col("store_id") > after[0]) | ((F.col("store_id") == after[0]) & (F.col("seq") > after[1]))).orderBy("store_id", "seq").limit(size)
 
 
 # --- multisets ------------------------------------------------------------------------------------------------------------

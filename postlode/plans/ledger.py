@@ -200,7 +200,7 @@ QUERIES = {
     "A05_next_sequence": _events(lambda c, e: e.groupBy("store_id", "item_key").agg((F.count("*") + 1).alias("next_sequence")), number=False),
     "A07_rejections_by_class": _on_rows(lambda c: c.where("status = 'unsupported'").groupBy(F.coalesce(F.lower("message_class"), F.lit("-")).alias("category")).agg(F.count("*").alias("n"))),
     "A12_capped_issues": _on_rows(lambda c: L.capped(L.first_wins(c)[1].select("store_id", "seq"), ["store_id", "seq"])[1]),
-    "L01_keyset_page": _on(lambda c: L.keyset_page(c.where("store_id = 1").select("seq", "item_key"), 1000)),
+    "L01_keyset_page": _on(lambda c: L.keyset_page(c.select("store_id", "seq", "item_key"), (1, 1000))),
     "L03_latest_candidate": _on(lambda c: c.where("source_node_id is not null").groupBy("store_id", "source_node_id").agg(F.max_by("item_key", "seq").alias("item_key"))),
     "O01_canonical_order": lambda spark, sf: P.positioned(packing_items(spark, sf), "store_id", P.ORDERS["canonical"], {}).select("store_id", "item_key", "pos"),
     "O02_text_order": _on(lambda c: P.positioned(c, "store_id", ["provenance", "source_node_id", "recovery_index", "occurrence"], {}).select("store_id", "item_key", (F.col("pos") + 1).alias("n"))),
@@ -258,7 +258,7 @@ SQL = {
     "A05_next_sequence": _EVENTS + "SELECT store_id, item_key, max(sequence) + 1 AS next_sequence FROM ev GROUP BY 1, 2",
     "A07_rejections_by_class": _CANDIDATES + "SELECT coalesce(lower(message_class), '-') AS category, count(*) AS n FROM cand WHERE status = 'unsupported' GROUP BY 1",
     "A12_capped_issues": _CANDIDATES + _FIRST + "SELECT greatest(count(*) - 10000, 0) AS dropped FROM ranked WHERE NOT free AND n > 1",
-    "L01_keyset_page": _CANDIDATES + "SELECT seq, item_key FROM cand WHERE store_id = 1 AND seq > 1000 ORDER BY seq LIMIT 1024",
+    "L01_keyset_page": _CANDIDATES + "SELECT store_id, seq, item_key FROM cand WHERE store_id > 1 OR (store_id = 1 AND seq > 1000) ORDER BY store_id, seq LIMIT 1024",
     "L03_latest_candidate": _CANDIDATES + "SELECT store_id, source_node_id, arg_max(item_key, seq) AS item_key FROM cand WHERE source_node_id IS NOT NULL GROUP BY 1, 2",
     "O01_canonical_order": _PACK_ITEMS + """SELECT store_id, item_key, row_number() OVER (PARTITION BY store_id ORDER BY CASE location WHEN 'store_root' THEN 1 ELSE 2 END, folder_path,
         CASE provenance WHEN 'normal' THEN 1 WHEN 'recovered' THEN 2 WHEN 'orphan' THEN 3 WHEN 'fragment' THEN 4 ELSE 5 END, source_node_id NULLS FIRST, recovery_index NULLS FIRST, occurrence) - 1 AS pos FROM pitem""",
