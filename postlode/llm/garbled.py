@@ -16,7 +16,8 @@ Defined results for odd input
 * Null, empty and pure ASCII values are intact. U+FFFD and C1 control characters always are damage, restored or not.
 * A row delivered again counts once. Rows with a null store_id or seq are kept and reported like others.
 * A value whose lost bytes can't be settled has a null restoration. Long texts are tokens like short ones; a token over
-  LONGEST characters is judged in pieces of that length.
+  LONGEST characters is judged in pieces of at most that length. They are cut where no likely reading has a character parted; a
+  double-byte page without a single ASCII character may still have one parted at a cut.
 * Further columns are ignored. Empty tables give an empty result.
 """
 
@@ -46,6 +47,8 @@ _CASE_BY_32 = {"cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859_2", "i
 CELLS = {"w0": 1 << 20, "w1": 1 << 20, "w2": 1 << 20, "w3": 1 << 20, "3": 1 << 20, "2": 1 << 18, "1": 1 << 16}
 _WORDS = ["w0", "w1", "w2", "w3"]
 LONGEST = 400
+#: Characters of tokens whose readings are held at once.
+AT_ONCE = 20_000
 #: Log prior odds of damage, by kind of channel: text that happens to be valid UTF-8 in another reading is strong evidence itself.
 PRIOR = {"utf8": 6.0, "utf16": -4.0, "mixed": 2.0, "cut": -1.5, "multi": -2.0, "single": -2.0, "lattice": -4.0}
 #: Further log odds by the token's length where only a single-byte or multi-byte page says so: one or two characters prove little.
@@ -359,6 +362,95 @@ def readings(token: str) -> dict[str, tuple[str, str]]:
     return {t: v for t, v in found.items() if _plausible(t)}
 
 
+# --- pieces of long tokens ----------------------------------------------------------------------------------------------
+
+
+#: Where a piece may end: so many characters before LONGEST. More than the bytes of two characters in any reading, twice damaged.
+_ROOM = 64
+#: A lead byte, or one whose letter case was changed, with its continuations.
+_LOOSE = re.compile(rb"[\xc2-\xfe][\x80-\xbf]{1,3}")
+
+
+def _inside(chars: list[str], ends: list[int], depth: int = 3) -> dict[int, float]:
+    """{place: weight of the readings as UTF-8 in which a cut there parts a character}. chars[i] ends at place ends[i]. A reading
+    weighs much if nearly all characters beyond ASCII are in sequences, which chance doesn't give."""
+    parted: dict[int, float] = {}
+    wide = max(1, sum(c > "\x7f" for c in chars))
+    for name, encode in _encoders():
+        data, at = [], {0: 0}  # at: byte offset -> number of characters before it
+        size = 0
+        for i, c in enumerate(chars):
+            try:
+                b = encode(c)
+            except ValueError:
+                b = b"\0"
+            data.append(b)
+            size += len(b)
+            at[size] = i + 1
+        joined = b"".join(data)
+        spans = [m.span() for m in (_LOOSE if name in WRONG_SINGLE else _SEQUENCE).finditer(joined)]
+        weight = 10 * min(1.0, sum(a in at for s, e in spans for a in range(s + 1, e + 1)) / wide) ** 4
+        for s, e in spans:
+            for k in range(s + 1, e):
+                if k in at:
+                    parted[ends[at[k] - 1]] = parted.get(ends[at[k] - 1], 0.0) + weight
+        if depth > 1 and weight > 0.5 and name in WRONG_SINGLE:  # text damaged on damaged text
+            read, stops, i = [], [], 0
+            for m in _SEQUENCE.finditer(joined):
+                read += chars[i : m.start()] + [m[0].decode("utf-8", "replace")[0]]
+                stops += ends[i : m.start()] + [ends[m.end() - 1]]
+                i = m.end()
+            if i:
+                for place, n in _inside(read + chars[i:], stops + ends[i:], depth - 1).items():
+                    parted[place] = parted.get(place, 0.0) + n * weight / 40
+    return parted
+
+
+def _between(text: str) -> dict[int, float]:
+    """{place: weight of the readings of text, from its start, in multi-byte pages in which a cut there parts a character}. They take
+    nearly any bytes, so they weigh little."""
+    parted: dict[int, float] = {}
+    for name, encode in _encoders():
+        if name in WRONG_MULTI:
+            continue
+        try:
+            data = encode(text)
+        except ValueError:
+            continue
+        for right in RIGHT_MULTI:
+            decoder, places = codecs.getincrementaldecoder(right)(), []
+            try:
+                for i in range(len(data)):
+                    decoder.decode(data[i : i + 1])
+                    if decoder.getstate()[0]:
+                        places.append(i + 1)
+            except ValueError:
+                continue
+            for place in places:
+                parted[place] = parted.get(place, 0.0) + 0.1
+    return parted
+
+
+def pieces(token: str) -> list[str]:
+    """token in successive pieces of at most LONGEST characters, cut where the least weight of readings has a character or a run of
+    lost bytes parted, best of all after an underscore."""
+    found, start = [], 0
+    while len(token) - start > LONGEST:
+        least, most = start + LONGEST - _ROOM, start + LONGEST
+        # UTF-8 is told from the bytes around; other pages only from where the text starts
+        near = token[least - _ROOM : most + _ROOM]
+        parted = {least - _ROOM + k: n for k, n in _inside(list(near), list(range(1, len(near) + 1))).items()}
+        for k, n in _between(token[start:most]).items():
+            parted[start + k] = parted.get(start + k, 0.0) + n
+        for k in range(least, most + 1):
+            if token[k - 1 : k + 1] == "��":
+                parted[k] = parted.get(k, 0.0) + 1000
+        end = min(range(least, most + 1), key=lambda k: (parted.get(k, 0.0), token[k - 1] != "_", -k))
+        found.append(token[start:end])
+        start = end
+    return [*found, token[start:]]
+
+
 # --- lattices -----------------------------------------------------------------------------------------------------------
 
 
@@ -447,25 +539,54 @@ def _ascii_score(text: str) -> float:
 
 def judge(tokens: list[str], model: Model) -> list[tuple[float, str | None, str | None]]:
     """For each token (gain, channel, restoration): gain is the log odds that it is damaged, above 0 if it is; the restoration is
-    null where lost characters can't be settled."""
+    null where lost characters can't be settled. A token over LONGEST is judged in pieces, each by itself: it is damaged if one of
+    them is, and its restoration is theirs, joined."""
+    cut = [pieces(t) for t in tokens]
+    flat = [(p, len(ps) > 1 and k > 0, k + 1 < len(ps)) for ps in cut for k, p in enumerate(ps)]
+    done: list[tuple[float, str | None, str | None]] = []
+    start = size = 0
+    for i, (piece, _, _) in enumerate(flat):  # readings are many times their piece, so only so many characters are read at once
+        size += len(piece)
+        if size >= AT_ONCE or i + 1 == len(flat):
+            done += _judge(flat[start : i + 1], model)
+            start, size = i + 1, 0
+    out, at = [], 0
+    for ps in cut:
+        each = done[at : at + len(ps)]
+        at += len(ps)
+        if len(ps) == 1:
+            out += each
+            continue
+        texts = [text if gain > 0 else p for p, (gain, _, text) in zip(ps, each, strict=True)]
+        channels = sorted({c for gain, c, _ in each if gain > 0 and c})
+        out.append((max(e[0] for e in each), ", ".join(channels) or None, None if None in texts else "".join(texts)))
+    return out
+
+
+def _judge(parts: list[tuple[str, bool, bool]], model: Model) -> list[tuple[float, str | None, str | None]]:
+    """judge() for pieces of at most LONGEST characters: (text, whether more stands before it, whether more follows)."""
     cands: list[str] = []
     kinds: list[tuple[str, str]] = []
     spans: list[tuple[int, int]] = []
-    for token in tokens:
+    for token, before, after in parts:
         start = len(cands)
-        for text, kind in readings(token[:LONGEST]).items():
-            cands.append(text)
-            kinds.append(kind)
+        if not token.isascii():
+            for text, kind in readings(token).items():
+                # a piece was cut by us, between characters: there it has lost nothing
+                if after and text.endswith(("�", _OPEN)) and not token.endswith("�") or before and text.startswith("�") and not token.startswith("�"):
+                    continue
+                cands.append(text)
+                kinds.append(kind)
         if "�" in token or any(c in _LEADS for c in token):
-            for slots in lattices(token[:LONGEST]):
+            for slots in lattices(token):
                 for text in viterbi(slots, model)[:3]:
                     cands.append(text)
                     kinds.append(("lattice", "lost bytes"))
         spans.append((start, len(cands)))
-    plain = model.score([t[:LONGEST] for t in tokens])
+    plain = model.score([t for t, _, _ in parts])
     scores = model.score([c.strip("�" + _OPEN) for c in cands], [c.endswith(("�", _OPEN)) for c in cands])
     out = []
-    for token, own, (start, end) in zip(tokens, plain, spans, strict=True):
+    for (token, _, _), own, (start, end) in zip(parts, plain, spans, strict=True):
         best, gain = None, -math.inf
         for i in range(start, end):
             kind = kinds[i][0]

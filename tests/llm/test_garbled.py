@@ -97,3 +97,36 @@ def test_parts_and_cuts():
 def test_digits_come_back():
     assert G._restored("año_676_revisiÃ³n.png 5", [{"token": "año_0_revisiÃ³n", "restored": "año_0_revisión"}]) == "año_676_revisión.png 5"
     assert G._restored("x �", [{"token": "�", "restored": None}]) is None
+
+
+def test_damage_beyond_the_first_piece(spark):
+    rnd = random.Random(3)
+    read = lambda x, name="cp1252": "".join(G._page(name)[b] for b in x.encode())
+    join = lambda words, n: "_".join(rnd.choice(words) for _ in range(n))
+    latin, kanji = [w for w in WORDS if w[-1] < "\u0250" and w.isalpha()], "".join(rnd.choice("会議日程添付報告書検査結果") for _ in range(500))
+    intact = [join(latin, 120), "".join(rnd.choice(WORDS[-4:]) for _ in range(200))]
+    want = {}
+    for k, (value, meant) in enumerate([
+        (intact[0] + "_" + read("Größe_Prüfung_Übersicht"), intact[0] + "_Größe_Prüfung_Übersicht"),  # after character 400 only
+        (read("Größe_" + intact[0]), "Größe_" + intact[0]),  # as a whole, over several pieces
+        (read("Größe") + "_" + intact[0], "Größe_" + intact[0]),  # at the start only: the rest must not disappear
+        (read(read(intact[0])), intact[0]),  # twice, where sequences are up to six characters
+        (read(kanji), kanji),  # no ASCII character anywhere to cut at
+    ]):
+        assert len(value) > G.LONGEST
+        want[k] = (value, meant)
+    words = [(1, 1000 + k, " ".join(rnd.choice(WORDS) for _ in range(4))) for k in range(3000)]
+    rows = [(1, k, v) for k, (v, _) in want.items()] + [(1, 100 + k, v) for k, v in enumerate(intact)] + words
+    got = {r.seq: r.restored for r in G.restored(G.damaged(spark.createDataFrame(rows, "store_id bigint, seq bigint, value string"), KEYS)).collect()}
+    assert not {100, 101} & got.keys()
+    assert want.keys() <= got.keys()
+    assert {k: got[k] for k in want} == {k: m for k, (_, m) in want.items()}
+
+
+def test_pieces_part_no_character():
+    for text in ("é" * 2000, "会議" * 700, "�" * 3 + "会" * 900, "a_" * 500, "x" * 401, "€ñ–" * 400):
+        for value in (text, "".join(G._page("cp1252")[b] for b in text.encode())):
+            cut = G.pieces(value)
+            assert "".join(cut) == value and all(0 < len(p) <= G.LONGEST for p in cut)
+            if value != text and "�" not in text:
+                assert "".join(bytes(G._page("cp1252").index(c) for c in p).decode() for p in cut) == text
