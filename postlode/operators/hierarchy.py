@@ -14,6 +14,9 @@ Defined results for odd input
 * Rows are (tree, node) records; of several rows with one key the one with the largest order value speaks, and repeated rows
   change nothing. A removed record is not there: its children become roots.
 * A null parent or one that is not there makes a root. A node that is its own parent is a cycle of one.
+* Nodes that reach no root still have descendants (unreached_pairs, unreached_counts). The members of a cycle are all below one
+  another: a member's descendants are the other members and all that hangs below any of them, each once and never itself, at the
+  least number of steps. A node below a cycle has the subtree below it, and the whole cycle above it. Their depth is null.
 * Null keys are no records and give no rows. Empty tables give an empty result. Null and blank names are kept as they are.
 """
 
@@ -21,7 +24,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlode.session import checkpointed
 
@@ -114,6 +117,46 @@ def descendant_counts(reached: DataFrame) -> DataFrame:
     return reached.select("tree", "node", "depth").join(below, ["tree", "node"], "left").select("tree", "node", "depth", F.coalesce("descendants", zero).alias("descendants"), F.coalesce("children", zero).alias("children"), F.coalesce("height", F.lit(0)).alias("height"))
 
 
+def opened_cycles(nodes: DataFrame, unreached: DataFrame, stride: int = 8) -> DataFrame:
+    """The unreached nodes as trees, each cycle cut open above its least node: tree, node, cycle_min, on_cycle, depth and id_path from
+    the least node down, size (members of the cycle) and place (members on the path, less one: the place of the last one on it)."""
+    unreached = checkpointed(unreached)
+    cut = nodes.select("tree", "node", "parent").join(unreached, ["tree", "node"]).select("tree", "node", F.when(F.col("node") != F.col("cycle_min"), F.col("parent")).alias("parent"), F.col("on_cycle").alias("name"))
+    paths, _ = hierarchy(cut, stride)
+    sizes = unreached.where("on_cycle").groupBy("tree", "cycle_min").agg(F.count("*").alias("size"))
+    marked = paths.select("tree", "node", F.col("root").alias("cycle_min"), F.element_at("name_path", -1).alias("on_cycle"), "depth", "id_path", (F.size(F.filter("name_path", lambda x: x)) - 1).alias("place"))
+    return checkpointed(marked.join(sizes, ["tree", "cycle_min"]))
+
+
+def unreached_pairs(opened: DataFrame) -> DataFrame:
+    """ancestor_pairs() of opened_cycles(): those on the path, and the members past the place where it leaves the cycle, which are
+    above by way of the least node's parent."""
+    members = opened.where("on_cycle").select("tree", "cycle_min", F.col("node").alias("ancestor"), F.col("place").alias("at"))
+    around = opened.join(members, ["tree", "cycle_min"]).where("at > place").select("tree", "ancestor", "node", (F.col("depth") - 1 + F.col("size") - F.col("at")).cast("int").alias("distance"))
+    return ancestor_pairs(opened).unionByName(around)
+
+
+def unreached_counts(opened: DataFrame) -> DataFrame:
+    """descendant_counts() of opened_cycles(), with a null depth. Members are counted by cycle, not by pairs."""
+    # pairs of two members are not needed, and none of a member with a node below: these are all nodes of the cycle
+    inner = opened.where("not on_cycle").withColumn("id_path", F.expr("slice(id_path, place + 2, size(id_path))")).withColumn("depth", F.size("id_path"))
+    below = descendant_counts(inner).drop("depth")
+    cycle = ["tree", "cycle_min"]
+    all_below = opened.groupBy(*cycle).agg((F.count("*") - 1).alias("descendants"))
+    deepest = opened.groupBy(*cycle, "place").agg((F.max("depth") - 1).alias("reach"))
+    # children of a member: those below the cycle that leave it there, one step down, and the next member unless that is itself
+    hanging = opened.where("not on_cycle and depth = place + 2").groupBy(*cycle, "place").agg(F.count("*").alias("hanging"))
+    order = Window.partitionBy(*cycle).orderBy("place")
+    from_here = F.max("reach").over(order.rowsBetween(0, Window.unboundedFollowing)) - F.col("place")
+    around = F.max("reach").over(order.rowsBetween(Window.unboundedPreceding, -1)) + F.col("size") - F.col("place")
+    members = (
+        opened.where("on_cycle").select("tree", "node", "cycle_min", "place", "size")
+        .join(deepest, [*cycle, "place"]).join(hanging, [*cycle, "place"], "left").join(all_below, cycle)
+        .select("tree", "node", "descendants", (F.coalesce("hanging", F.lit(0)) + (F.col("size") > 1).cast("bigint")).alias("children"), F.greatest(from_here, around).cast("int").alias("height"))
+    )
+    return below.unionByName(members).select("tree", "node", F.lit(None).cast("int").alias("depth"), "descendants", "children", "height")
+
+
 def joined_path(path: str, ids: str, missing: str = "Recovered Folder ") -> Column:
     """A path of names as text, parts joined by /. A / or \\ in a name gets a \\ before it; a null or empty name is missing + its id."""
     part = F.zip_with(path, ids, lambda n, i: F.coalesce(F.nullif(F.regexp_replace(n, r"([/\\])", r"\\$1"), F.lit("")), F.concat(F.lit(missing), i.cast("string"))))

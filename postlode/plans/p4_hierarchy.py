@@ -1,11 +1,16 @@
-"""Problem 4: folder rows as full hierarchies."""
+"""Problem 4: folder rows as full hierarchies.
+
+p4_descendant_counts and p4_ancestor_pairs are those of folders that reach a root, as their SQL twins define them. p4_all_... have
+every present folder: those on or below a cycle too, with a null depth. A member of a cycle has the other members and all that hangs
+below any of them as descendants, each once and never itself, at the least number of steps; a folder below a cycle has its subtree.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlode.operators import hierarchy as H
-from postlode.session import table
+from postlode.session import checkpointed, table
 
 
 def _nodes(spark: SparkSession, sf: str, name: str | None = None) -> DataFrame:
@@ -34,6 +39,20 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     return H.ancestor_pairs(reached).select(F.col("tree").alias("store_id"), F.col("ancestor").alias("ancestor_id"), F.col("node").alias("source_id"), "distance")
 
 
+def all_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = checkpointed(_nodes(spark, sf))
+    reached, rest = H.hierarchy(nodes)
+    counts = H.descendant_counts(reached).unionByName(H.unreached_counts(H.opened_cycles(nodes, rest)))
+    return counts.select(F.col("tree").alias("store_id"), F.col("node").alias("source_id"), "depth", "descendants", "children", "height")
+
+
+def all_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = checkpointed(_nodes(spark, sf))
+    reached, rest = H.hierarchy(nodes)
+    found = H.ancestor_pairs(reached).unionByName(H.unreached_pairs(H.opened_cycles(nodes, rest)))
+    return found.select(F.col("tree").alias("store_id"), F.col("ancestor").alias("ancestor_id"), F.col("node").alias("source_id"), "distance")
+
+
 _SQL = r"""
 WITH RECURSIVE latest AS (
   SELECT store_id, source_id, arg_max({'p': parent_source_id, 'n': name, 'g': coalesce(removed, false)}, seq) AS v FROM folders GROUP BY ALL),
@@ -55,7 +74,23 @@ least AS (
   SELECT w.store_id, w.source_id, min(w.pos) AS root FROM walk w JOIN cyc c ON c.store_id = w.store_id AND c.source_id = w.pos GROUP BY ALL)
 """
 
-QUERIES = {"p4_found": found, "p4_folder_paths": names, "p4_descendant_counts": descendants, "p4_ancestor_pairs": pairs}
+#: Follows _SQL: the chains of the folders that reach no root, up to where they meet themselves, and the pairs of all folders.
+_ALL_SQL = (
+    _SQL
+    + """, chain AS (
+  SELECT store_id, source_id, [source_id] AS ids, parent AS nxt FROM lost
+  UNION ALL SELECT c.store_id, c.source_id, list_append(c.ids, c.nxt), l.parent
+  FROM chain c JOIN lost l ON l.store_id = c.store_id AND l.source_id = c.nxt WHERE NOT list_contains(c.ids, c.nxt)),
+above AS (
+  SELECT store_id, unnest(ids) AS a, source_id, depth - 1 - unnest(range(len(ids))) AS distance FROM up
+  UNION ALL SELECT store_id, nxt, source_id, len(ids) FROM chain WHERE NOT list_contains(ids, nxt))
+"""
+)
+
+QUERIES = {
+    "p4_found": found, "p4_folder_paths": names, "p4_descendant_counts": descendants, "p4_ancestor_pairs": pairs,
+    "p4_all_descendant_counts": all_descendants, "p4_all_ancestor_pairs": all_pairs,
+}
 SQL = {
     "p4_found": _SQL
     + """SELECT store_id, source_id, root AS root_source_id, array_to_string(ids, '/') AS id_path FROM up
@@ -70,4 +105,9 @@ SQL = {
     "p4_ancestor_pairs": _SQL
     + """, pairs AS (SELECT store_id, source_id, depth, unnest(ids) AS a, unnest(range(len(ids))) AS i FROM up)
          SELECT store_id, a AS ancestor_id, source_id, depth - 1 - i AS distance FROM pairs WHERE i < depth - 1""",
+    "p4_all_descendant_counts": _ALL_SQL
+    + """, below AS (SELECT store_id, a, count(*) AS n, count(*) FILTER (distance = 1) AS k, max(distance) AS h FROM above WHERE a <> source_id GROUP BY ALL)
+         SELECT e.store_id, e.source_id, up.depth, coalesce(n, 0) AS descendants, coalesce(k, 0) AS children, coalesce(h, 0) AS height
+         FROM e LEFT JOIN up USING (store_id, source_id) LEFT JOIN below b ON b.store_id = e.store_id AND b.a = e.source_id""",
+    "p4_all_ancestor_pairs": _ALL_SQL + "SELECT store_id, a AS ancestor_id, source_id, distance FROM above WHERE a <> source_id",
 }

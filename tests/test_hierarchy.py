@@ -67,3 +67,40 @@ def test_descendants_and_names(spark):
 
 def test_empty(spark):
     assert got(*solve(spark, [])) == {}
+
+
+def brute_pairs(rows):
+    """{(tree, ancestor, node): least number of steps} over all present nodes, cycles included; none is its own ancestor."""
+    last = {}
+    for t, n, p, s, gone, _, _ in rows:
+        if (t, n) not in last or last[t, n][0] < s:
+            last[t, n] = (s, p, gone)
+    here = {k: v[1] for k, v in last.items() if not v[2]}
+    out = {}
+    for t, n in here:
+        steps, x = 0, here[t, n]
+        while x is not None and (t, x) in here and x != n and (t, x, n) not in out:
+            steps += 1
+            out[t, x, n] = steps
+            x = here[t, x]
+    return here, out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_descendants_on_and_below_cycles(spark, seed):
+    rnd = random.Random(seed)
+    rows = [(1, n, rnd.choice([None, *range(60)]) if rnd.random() < 0.8 else n + 1, n, rnd.random() < 0.05, "n", None) for n in range(50)]
+    rows += [(2, n, (n + 1) % 13, n, False, "n", None) for n in range(13)] + [(2, 100 + n, 99 + n if n else 5, 50 + n, False, "n", None) for n in range(20)]
+    rows += [(2, 500, 500, 1, False, "n", None), (2, 501, 500, 1, False, "n", None), (2, 600, None, 1, False, "n", None), (2, 601, 600, 1, False, "n", None)]
+    here, want = brute_pairs(rows)
+    nodes = H.current_nodes(spark.createDataFrame(rows, SCHEMA), "tree", "node", "parent", "seq", "removed")
+    reached, rest = H.hierarchy(nodes, 4)
+    opened = H.opened_cycles(nodes, rest, 4)
+    pairs = H.ancestor_pairs(reached).unionByName(H.unreached_pairs(opened)).collect()
+    assert len(pairs) == len(want) and {(r.tree, r.ancestor, r.node): r.distance for r in pairs} == want
+    counts = H.descendant_counts(reached).unionByName(H.unreached_counts(opened)).collect()
+    assert len(counts) == len(here) == len({(r.tree, r.node) for r in counts})
+    for r in counts:
+        mine = [d for (t, a, _), d in want.items() if (t, a) == (r.tree, r.node)]
+        assert (r.descendants, r.children, r.height) == (len(mine), mine.count(1), max(mine, default=0)), r
+    assert {(r.tree, r.node) for r in counts if r.depth is None} == {(r.tree, r.node) for r in rest.collect()}
