@@ -537,10 +537,13 @@ def _ascii_score(text: str) -> float:
     return sum(each[k] for k in kinds) - 4.0 * sum(a == "a" and b == "A" for a, b in zip(kinds, kinds[1:], strict=False))
 
 
-def judge(tokens: list[str], model: Model) -> list[tuple[float, str | None, str | None]]:
+def judge(tokens: list[str], model: Model, once: Model | None = None) -> list[tuple[float, str | None, str | None]]:
     """For each token (gain, channel, restoration): gain is the log odds that it is damaged, above 0 if it is; the restoration is
     null where lost characters can't be settled. A token over LONGEST is judged in pieces, each by itself: it is damaged if one of
-    them is, and its restoration is theirs, joined."""
+    them is, and its restoration is theirs, joined.
+
+    once is the model of distinct values. A token as it stands has no more probability than there, as copies of one value say
+    nothing new on whether it is as meant; tokens of one or two characters count by rows all the same."""
     cut = [pieces(t) for t in tokens]
     flat = [(p, len(ps) > 1 and k > 0, k + 1 < len(ps)) for ps in cut for k, p in enumerate(ps)]
     done: list[tuple[float, str | None, str | None]] = []
@@ -548,7 +551,7 @@ def judge(tokens: list[str], model: Model) -> list[tuple[float, str | None, str
     for i, (piece, _, _) in enumerate(flat):  # readings are many times their piece, so only so many characters are read at once
         size += len(piece)
         if size >= AT_ONCE or i + 1 == len(flat):
-            done += _judge(flat[start : i + 1], model)
+            done += _judge(flat[start : i + 1], model, once)
             start, size = i + 1, 0
     out, at = [], 0
     for ps in cut:
@@ -563,7 +566,7 @@ def judge(tokens: list[str], model: Model) -> list[tuple[float, str | None, str
     return out
 
 
-def _judge(parts: list[tuple[str, bool, bool]], model: Model) -> list[tuple[float, str | None, str | None]]:
+def _judge(parts: list[tuple[str, bool, bool]], model: Model, once: Model | None) -> list[tuple[float, str | None, str | None]]:
     """judge() for pieces of at most LONGEST characters: (text, whether more stands before it, whether more follows)."""
     cands: list[str] = []
     kinds: list[tuple[str, str]] = []
@@ -584,6 +587,9 @@ def _judge(parts: list[tuple[str, bool, bool]], model: Model) -> list[tuple[floa
                     kinds.append(("lattice", "lost bytes"))
         spans.append((start, len(cands)))
     plain = model.score([t for t, _, _ in parts])
+    if once is not None:
+        # one or two characters prove little: a sign or initial that nearly always is in the same value is as meant
+        plain = np.where([len(t) > 2 for t, _, _ in parts], np.minimum(plain, once.score([t for t, _, _ in parts])), plain)
     scores = model.score([c.strip("�" + _OPEN) for c in cands], [c.endswith(("�", _OPEN)) for c in cands])
     out = []
     for (token, _, _), own, (start, end) in zip(parts, plain, spans, strict=True):
@@ -608,15 +614,15 @@ def _judge(parts: list[tuple[str, bool, bool]], model: Model) -> list[tuple[floa
 _LEADS = {chr(c) for c in range(0xC2, 0xE0)}
 
 
-def verdicts(vocabulary: DataFrame, model: Model) -> DataFrame:
+def verdicts(vocabulary: DataFrame, model: Model, once: Model) -> DataFrame:
     """(token, gain, channel, restored) of the damaged tokens."""
-    shared = vocabulary.sparkSession.sparkContext.broadcast(model.cells)
+    shared = vocabulary.sparkSession.sparkContext.broadcast((model.cells, once.cells))
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Model(shared.value)
+        own, single = (Model(cells) for cells in shared.value)
         for frame in frames:
             tokens = frame["token"].tolist()
-            rows = [(t, *v) for t, v in zip(tokens, judge(tokens, own), strict=True) if v[0] > 0]
+            rows = [(t, *v) for t, v in zip(tokens, judge(tokens, own, single), strict=True) if v[0] > 0]
             yield pd.DataFrame(rows, columns=["token", "gain", "channel", "restored"])
 
     # a vocabulary is small in bytes and dear in time, so it is spread further than its bytes ask for
@@ -636,8 +642,9 @@ def damaged(rows: DataFrame, keys: list[str], salts: int = 8) -> DataFrame:
     are one row per damaged token.
     """
     tokens = suspects(rows).select(*keys, "value", F.explode("tokens").alias("token"))
-    vocabulary = checkpointed(tokens.groupBy("token").agg(F.count("*").alias("n")))
-    found = checkpointed(verdicts(vocabulary, train(vocabulary)))
+    values = tokens.groupBy("token", F.xxhash64("value").alias("of")).agg(F.count("*").alias("n"))
+    vocabulary = checkpointed(values.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("values")))
+    found = checkpointed(verdicts(vocabulary, train(vocabulary), train(vocabulary.select("token", F.col("values").alias("n")))))
     spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     hit = tokens.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")).join(spread, ["token", "salt"])
     return hit.groupBy(*keys).agg(F.first("value").alias("value"), F.collect_set(F.struct("token", "channel", "restored")).alias("fixes"))
