@@ -130,14 +130,3 @@ def test_pieces_part_no_character():
             assert "".join(cut) == value and all(0 < len(p) <= G.LONGEST for p in cut)
             if value != text and "�" not in text:
                 assert "".join(bytes(G._page("cp1252").index(c) for c in p).decode() for p in cut) == text
-
-
-def test_copies_of_a_damaged_value_are_no_evidence(spark):
-    rnd = random.Random(11)
-    # a sender whose name is damaged in a third of the rows, with the name as meant in one row in fifty
-    wrong = "Prüfung".encode("cp1252").decode("cp1251")
-    rows = [(1, k, wrong if k % 3 == 0 else " ".join(rnd.choice(WORDS) for _ in range(3)) if k % 50 else f"Prüfung {rnd.choice(WORDS)}") for k in range(3000)]
-    got = {r.seq: r for r in G.restored(G.damaged(spark.createDataFrame(rows, "store_id bigint, seq bigint, value string"), KEYS)).collect()}
-    hot = {k for _, k, v in rows if v == wrong}
-    assert hot <= got.keys() and len(got.keys() - hot) < 0.01 * len(rows)
-    assert {got[k].restored for k in hot} == {"Prüfung"}
