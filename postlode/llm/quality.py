@@ -1,9 +1,14 @@
-"""Statistics of a text that tell prose from lists, tables and junk.
+"""Statistics of a text that tell prose from lists, tables and junk, and boosted trees over them.
 
 A text is cut into units: its lines, and stretches of UNIT_WORDS words of longer ones. Quote marks at line starts, a greeting and
-a closing are set aside. Each unit has a shape (bullet, table, field, log, code, encoded, signs or plain), and plain units are
-weighed by words that only clauses have (verbs, pronouns, conjunctions), so that a list of noun phrases without bullets is told
-from a wrapped sentence. The statistics of a document are shares of its visible characters over these, beside plain counts.
+a closing are set aside. Each unit has a shape (bullet, table, field, log, code, encoded, signs or plain); plain units are placed
+by how many of their words only clauses have (verbs, pronouns, conjunctions) and how many are frequent words at all. The
+statistics of a document are shares of its visible characters over these, beside plain counts. None of them is a verdict: what
+the shares mean together is learnt.
+
+The weak labels look at whole blocks of a text, not at its statistics, and speak only of pure documents: nothing but structure, or
+nothing but sentences. What lies between is learnt from texts put together from a pure one of each kind, of which it is known how
+many characters belong to which.
 
 Defined results for odd input
 -----------------------------
@@ -17,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -142,23 +148,32 @@ def units(text: str) -> tuple[list[tuple[str, int, list[str], int, bool]], list[
     return out, aside
 
 
-#: The statistics, in order. The first five are those asked for; the rest serve the classifier.
+#: Places of a plain unit by its rate of clausal words (steps of 0.02), and by its share of frequent words.
+CLAUSE_STEPS = 7
+KNOWN_STEPS = (0.1, 0.2, 0.35, 0.8, 0.93)
+
+#: The statistics, in order; all but the first, as length is no evidence, are what the trees see. The first five are those asked for; the rest serve the classifier.
 NAMES = (
     ["n_words", "mean_word_length", "symbol_ratio", "punct_line_share", "common_word_share"]
     + [f"share_{s}" for s in SHAPES]
-    + ["clause_none", "clause_weak", "clause_strong", "clause_mean", "repeated", "distinct_words", "comma_rate", "sentence_rate", "digit_ratio", "upper_ratio", "long_word_share", "short_line_share", "unit_words", "any_common", "vowel_ratio", "junk_estimate", "sure"]
+    + [f"clause_{k}" for k in range(CLAUSE_STEPS)]
+    + [f"known_{k}" for k in range(len(KNOWN_STEPS) + 1)]
+    + ["repeated", "comma_rate", "sentence_rate", "digit_ratio", "upper_ratio", "long_word_share", "short_line_share", "unit_words", "any_common", "vowel_ratio"]
 )
 
 
+def _plain(text: str) -> str:
+    """The text without tags and invisible characters, compatibility forms unified."""
+    if not text.isascii():
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+    return _TAG.sub(" ", text) if "<" in text else text
+
+
 def statistics(text: str | None, lang: str | None = None) -> list[float] | None:
     """The values of NAMES for a text; None for null."""
     if text is None:
         return None
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-        text = _INVISIBLE.sub("", text)
-    if "<" in text:
-        text = _TAG.sub(" ", text)
+    text = _plain(text)
     stripped = [x.strip() for x in text.splitlines()]
     stripped = [x for x in stripped if x]
     visible = sum(len(x) for x in stripped) - sum(x.count(" ") + x.count("\t") for x in stripped)
@@ -174,55 +189,38 @@ def statistics(text: str | None, lang: str | None = None) -> list[float] | None:
     best = _COMMON.get((lang or "")[:2].lower())
     in_lang = max(sum(map(counts.__getitem__, counts.keys() & s)) for s in ([best] if best else _COMMON.values()))
     total = sum(p[1] for p in parts) or 1
-    share = dict.fromkeys(SHAPES, 0.0)
-    none = weak = strong = mean = repeated = junk = sure = 0.0
+    share = dict.fromkeys(SHAPES, 0)
+    clause, known, repeated = [0] * CLAUSE_STEPS, [0] * (len(KNOWN_STEPS) + 1), 0
     clausal = [sum(map(_CLAUSAL.__contains__, ws)) for _, _, ws, _, _ in parts]
-    for i, (shape, v, ws, block, ends) in enumerate(parts):
-        share[shape] += v / total
+    for i, (shape, v, ws, block, _) in enumerate(parts):
+        share[shape] += v
         if shape != "plain":
-            junk += v
-            sure += v
             continue
-        # a wrapped sentence is weighed with the plain lines beside it
-        size, hits = len(ws), clausal[i]
+        # a wrapped sentence is placed with the plain lines beside it
+        size = own = len(ws)
+        hits = clausal[i]
         rate = hits / size if size > 6 else 0.0
-        if rate < 0.09:
+        if rate < 0.12:
             for j in (i - 1, i + 1):
                 if 0 <= j < len(parts) and parts[j][0] == "plain" and parts[j][3] == block:
                     size += len(parts[j][2])
                     hits += clausal[j]
             rate = max(rate, hits / (size or 1))
-        varied = len(set(ws)) / (len(ws) or 1)
-        if len(ws) > 4:
-            known = sum(map(_KNOWN.__contains__, ws)) / len(ws)
-            if known < 0.13:
-                rate = min(rate, 0.02)  # strings of letters hold a short word by chance
-            elif 0.03 < rate < 0.09 and len(ws) > 6 and varied > 0.6 and (ends and known > 0.2 or known > 0.3):
-                rate = 0.09  # enough words of a language, and a full stop or many of them
-        mean += rate * v / total
-        if len(ws) > 7 and varied < 0.5:
-            repeated += v / total
-            junk += v
-            sure += v
-        elif rate < 0.04:
-            none += v / total
-            junk += v
-            sure += v if size > 4 else 0
-        elif rate < 0.09:
-            weak += v / total
-            junk += 0.5 * v
-        else:
-            strong += v / total
-            sure += v
+        clause[min(CLAUSE_STEPS - 1, int(rate * 50))] += v
+        if own > 4:
+            known[bisect_right(KNOWN_STEPS, sum(map(_KNOWN.__contains__, ws)) / own)] += v
+            if own > 7 and len(set(ws)) < 0.5 * own:
+                repeated += v
     return [
         float(n),
         letters / n if n else 0.0,
         (visible - letters) / visible,
         sum(x[-1] in _STOPS or x[-1] in _CLOSERS and x.rstrip(_CLOSERS)[-1:] in _STOP_SET for x in stripped) / len(stripped),
         in_lang / n if n else 0.0,
-        *(share[s] for s in SHAPES),
-        none, weak, strong, mean, repeated,
-        len(counts) / n if n else 0.0,
+        *(share[s] / total for s in SHAPES),
+        *(x / total for x in clause),
+        *(x / total for x in known),
+        repeated / total,
         text.count(",") / (n or 1),
         sum(map(text.count, (". ", "! ", "? ", ".\n", "!\n", "?\n", "… "))) / (n or 1),
         sum(map(text.count, "0123456789")) / visible,
@@ -232,18 +230,70 @@ def statistics(text: str | None, lang: str | None = None) -> list[float] | None:
         math.log1p(n / len(parts)) if parts else 0.0,
         sum(map(counts.__getitem__, counts.keys() & _ANY_COMMON)) / (n or 1),
         sum(map(low.count, "aeiouäöüáéíóúàèêô")) / (letters or 1),
-        junk / total,
-        sure / total,
     ]
 
 
-def weak_label(row: dict[str, float]) -> float | None:
-    """1 for junk, 0 for prose, None where the shapes and clauses of a text don't say: too little of it is sure, or it is half and half."""
-    if row["n_words"] < 1 and row["symbol_ratio"] == 0:
-        return None
-    if row["sure"] < 0.9 or 0.47 < row["junk_estimate"] < 0.53:
-        return None
-    return float(row["junk_estimate"] > 0.5)
+# --- weak labels --------------------------------------------------------------------------------------------------------
+
+#: Least share of a text's characters that must be of one kind for a weak label.
+PURE = 0.95
+#: A block of more words is looked at in stretches of about so many.
+BLOCK_WORDS = 40
+
+
+def weak_label(text: str | None) -> tuple[float | None, int]:
+    """(1 for junk, 0 for prose, None for neither or both; visible characters). Plain lines are looked at by blocks: a block reads if
+    it has clausal words and others beside them, is a list if its lines are short and have none, and is a meaningless string if
+    nearly all its words are unknown, or none of them means anything by itself, or they are always the same."""
+    parts, _ = units(_plain(text or ""))
+    total = sum(p[1] for p in parts)
+    junk = reads = 0
+    blocks: list[list] = []
+    before, held = None, 0
+    for p in parts:
+        if p[0] != "plain":
+            junk += p[1]
+            continue
+        if p[3] != before or held > BLOCK_WORDS:
+            blocks.append([])
+            before, held = p[3], 0
+        blocks[-1].append(p)
+        held += len(p[2])
+    for lines in blocks:
+        ws = [w for p in lines for w in p[2]]
+        size, n = sum(p[1] for p in lines), len(ws) or 1
+        hits, known, varied = sum(map(_CLAUSAL.__contains__, ws)) / n, sum(map(_KNOWN.__contains__, ws)) / n, len(set(ws)) / n
+        if n > 7 and (known < 0.08 or known > 0.93 or varied < 0.3) or hits == 0 and n / len(lines) <= 6:
+            junk += size
+        elif n > 5 and hits > 0.09 and 0.25 < known < 0.85 and varied > 0.35:
+            reads += size
+    if not total:
+        return None, 0
+    return (1.0 if junk >= PURE * total else 0.0 if reads >= PURE * total else None), total
+
+
+#: How many times as much junk as prose the texts put together shall hold, in turn.
+MIXTURES = (0.2, 0.45, 0.7, 1.45, 2.2, 5.0)
+
+
+def examples(texts: list[str]) -> list[tuple[list[float], float]]:
+    """(statistics, label) of the pure ones among texts, and of texts put together from a pure one of each kind, labelled by which has
+    more characters. Each text of prose meets the junk whose size comes nearest to the next of MIXTURES."""
+    kinds: dict[float, list[tuple[int, str]]] = {0.0: [], 1.0: []}
+    for t in texts:
+        label, size = weak_label(t)
+        if label is not None:
+            kinds[label].append((size, t))
+    out = [(statistics(t), label) for label, of in kinds.items() for _, t in of]
+    junk = sorted(kinds[1.0])
+    sizes = [size for size, _ in junk]
+    for k, (size, t) in enumerate(sorted(kinds[0.0]) if junk else []):
+        at = bisect_right(sizes, MIXTURES[k % len(MIXTURES)] * size)
+        more, other = junk[min(len(junk) - 1, max(0, at - k % 2))]
+        if not 0.87 < more / size < 1.15:  # too near for the label to be sure
+            whole = f"{t}\n\n{other}" if k // len(MIXTURES) % 2 else f"{other}\n\n{t}"
+            out.append((statistics(whole), float(more > size)))
+    return out
 
 
 # --- gradient-boosted trees ---------------------------------------------------------------------------------------------
@@ -252,7 +302,7 @@ def weak_label(row: dict[str, float]) -> float | None:
 class Boosted:
     """Gradient-boosted trees for log loss over binned features, and a logistic calibration of their sum."""
 
-    def __init__(self, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 48, least: float = 8.0):
+    def __init__(self, trees: int = 40, depth: int = 4, rate: float = 0.2, bins: int = 48, least: float = 8.0):
         self.trees, self.depth, self.rate, self.bins, self.least = trees, depth, rate, bins, least
         self.a, self.b = 1.0, 0.0
 
@@ -260,6 +310,7 @@ class Boosted:
         return np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)], axis=1)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
+        """y are labels of 0 and 1; with one kind alone nothing is learnt, and all probabilities are alike."""
         self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
         z = self._binned(x)
         p = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
@@ -283,16 +334,15 @@ class Boosted:
             gs, hs = g[rows].sum(), h[rows].sum()
             best, where = 1e-6, None
             if depth < self.depth and len(rows) > 1:
-                for j in range(z.shape[1]):
-                    b = z[rows, j]
-                    gl = np.cumsum(np.bincount(b, g[rows], width))[:-1]
-                    hl = np.cumsum(np.bincount(b, h[rows], width))[:-1]
-                    n = np.cumsum(np.bincount(b, minlength=width))[:-1]
-                    gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
-                    gain[(n < self.least) | (len(rows) - n < self.least)] = -1
-                    k = int(np.argmax(gain))
-                    if gain[k] > best:
-                        best, where = float(gain[k]), (j, k)
+                # sums below each bin of all features at once: a feature's bins are a stretch of width cells
+                cells = (z[rows] + np.arange(z.shape[1]) * width).ravel()
+                below = lambda v, cells=cells: np.cumsum(np.bincount(cells, v, z.shape[1] * width).reshape(-1, width), axis=1)[:, :-1]
+                gl, hl, n = below(np.repeat(g[rows], z.shape[1])), below(np.repeat(h[rows], z.shape[1])), below(None)
+                gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
+                gain[(n < self.least) | (len(rows) - n < self.least)] = -1
+                at_most = int(np.argmax(gain))
+                if gain.flat[at_most] > best:
+                    where = divmod(at_most, width - 1)
             if where is None:
                 nodes[at] = (None, self.rate * gs / (hs + 1))
                 continue
