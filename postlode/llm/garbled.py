@@ -13,7 +13,13 @@ driver receives and broadcasts is bounded (CELLS). Tokens are counted and judged
 
 Defined results for odd input
 -----------------------------
-* Null, empty and pure ASCII values are intact. U+FFFD and C1 control characters always are damage, restored or not.
+* Null, empty and pure ASCII values are intact. U+FFFD and C1 control characters always are damage, restored or not, as intact
+  text has none of them.
+* Of lost bytes only what stands out is restored: the best reading must have SETTLED of the weight of all, and a word lost as a
+  whole has none. Copies of a damaged value are no evidence that it is intact where it reads as UTF-8 and has a sign in a word; a
+  value read with the wrong single-byte page that has more copies than its right form can still pass for intact.
+* Digits fold to 0 before decoding, so four-byte sequences of GB18030 are not inverted. Pairs of bytes read as wide characters are
+  weighed by kinds of ASCII characters, since the corpus model holds no ASCII words.
 * A row delivered again counts once. Rows with a null store_id or seq are kept and reported like others.
 * A value whose lost bytes can't be settled has a null restoration. Long texts are tokens like short ones; a token over
   LONGEST characters is judged in pieces of at most that length. They are cut where no likely reading has a character parted; a
@@ -46,6 +52,10 @@ _CASE_BY_32 = {"cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859_2", "i
 #: Sizes of the sketches: cells for words (by four hashes), three, two and one characters.
 CELLS = {"w0": 1 << 20, "w1": 1 << 20, "w2": 1 << 20, "w3": 1 << 20, "3": 1 << 20, "2": 1 << 18, "1": 1 << 16}
 _WORDS = ["w0", "w1", "w2", "w3"]
+#: Most tasks that count the vocabulary into sketches.
+TRAIN_TASKS = 256
+#: Damaged tokens that may be broadcast, about 200 bytes each; more are joined.
+BROADCAST_TOKENS = 200_000
 LONGEST = 400
 #: Characters of tokens whose readings are held at once.
 AT_ONCE = 20_000
@@ -55,7 +65,12 @@ PRIOR = {"utf8": 6.0, "utf16": -4.0, "mixed": 2.0, "cut": -1.5, "multi": -2.0, "
 SHORT = {1: -3.5, 2: -0.5}
 #: Share of a token's probability that comes from its own count; the rest is spelled by characters.
 OWN = 0.7
-BEAM, ALPHABET = 12, 256
+BEAM = 48
+LOST = "lost bytes"
+#: Classes of characters that lost bytes may have been.
+CLASSES = ("single", "two", "three")
+#: Least share of the best reading among all readings with lost characters for it to be a restoration.
+SETTLED = 0.4
 _START, _END = "\x02", "\x03"
 
 #: Runs of characters from @ upwards and digits that hold a character beyond ASCII. Space and ASCII punctuation never are part of a
@@ -122,13 +137,24 @@ class Model:
         own = np.min([self.cells[k][at] for k, at in zip(_WORDS, _word_cells(low), strict=True)], axis=0).astype(float) / self.words
         return np.logaddexp(np.log(OWN * own + 1e-300), math.log(1 - OWN) + spelled)
 
-    @property
-    def alphabet(self) -> np.ndarray:
-        """The characters beyond ASCII that are most frequent, for slots that may hold any."""
-        if not hasattr(self, "_alphabet"):
-            top = np.argsort(-self.cells["1"], kind="stable")
-            self._alphabet = np.array([c for c in top[: 2 * ALPHABET] if c > 0xA0 and c != 0xFFFD and self.cells["1"][c] > 0 and not 0xD800 <= c < 0xE000][:ALPHABET], np.uint64)
-        return self._alphabet
+    def options(self, kind: str) -> np.ndarray:
+        """The characters beyond ASCII that the corpus has and that a slot may hold: those of two or of three bytes in UTF-8, or those of
+        a single-byte page."""
+        if not hasattr(self, "_by_kind"):
+            seen = np.nonzero(self.cells["1"])[0]
+            seen = seen[(seen > 0xA0) & (seen != 0xFFFD) & ~((seen >= 0xD800) & (seen < 0xF900)) & (seen < 0xFFF0)].astype(np.uint64)
+            pages = np.array(sorted({ord(c) for name in RIGHT_SINGLE for c in _page(name)}), np.uint64)
+            self._by_kind = {"two": seen[seen < 0x800], "three": seen[seen >= 0x800], "single": seen[np.isin(seen, pages)]}
+        return self._by_kind[kind]
+
+    def lowered(self, options: np.ndarray) -> np.ndarray:
+        """The lower-case form of each of the characters."""
+        if not hasattr(self, "_low"):
+            self._low: dict[bytes, np.ndarray] = {}
+        key = options.tobytes()
+        if key not in self._low:
+            self._low[key] = np.array([ord(chr(int(c)).lower()[:1]) for c in options], np.uint64)
+        return self._low[key]
 
 
 def train(vocabulary: DataFrame) -> Model:
@@ -154,15 +180,16 @@ def train(vocabulary: DataFrame) -> Model:
             np.add.at(cells["2"], _cell2(codes[starts], codes[starts + 1]), weight[starts])
             np.add.at(cells["1"], (codes[at] & (CELLS["1"] - 1)).astype(np.int64), weight[at])
             np.add.at(cells["1"], (codes[starts + 1] & (CELLS["1"] - 1)).astype(np.int64), weight[starts])
-        for k, c in cells.items():
-            at = np.nonzero(c)[0]
-            yield pd.DataFrame({"part": k, "cell": at, "n": c[at]})
+        every = np.concatenate([cells[k] for k in CELLS])
+        at = np.nonzero(every)[0]
+        yield pd.DataFrame({"cell": at.astype(np.int32), "n": every[at]})
 
-    summed = vocabulary.select("token", "n").mapInPandas(count, "part string, cell bigint, n double").groupBy("part", "cell").agg(F.sum("n").alias("n")).toPandas()  # at most sum(CELLS) rows
-    cells = {k: np.zeros(n, np.float32) for k, n in CELLS.items()}
-    for k, rows in summed.groupby("part"):
-        cells[k][rows["cell"].to_numpy()] = rows["n"].to_numpy()
-    return Model(cells)
+    # at most TRAIN_TASKS times sum(CELLS) rows are added up, and sum(CELLS) rows of 12 bytes reach the driver
+    summed = vocabulary.select("token", "n").coalesce(TRAIN_TASKS).mapInPandas(count, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    every = np.zeros(sum(CELLS.values()), np.float32)
+    every[summed["cell"].to_numpy()] = summed["n"].to_numpy()
+    ends = np.cumsum(list(CELLS.values()))
+    return Model({k: every[end - n : end] for (k, n), end in zip(CELLS.items(), ends, strict=True)})
 
 
 # --- the channels, backwards --------------------------------------------------------------------------------------------
@@ -454,67 +481,83 @@ def pieces(token: str) -> list[str]:
 # --- lattices -----------------------------------------------------------------------------------------------------------
 
 
-def lattices(token: str) -> list[list]:
-    """Readings with lost bytes as slots: a text that is certain, or an array of the characters that may stand there (None: any)."""
-    found = []
+#: Edges from each place of a token: (place they lead to, a text, an array of the characters that may stand there, or the name of a
+#: class of them, see Model.options).
+Lattice = list[list[tuple[int, "str | np.ndarray"]]]
+
+
+def lattices(token: str) -> list[Lattice]:
+    """Readings with lost bytes as lattices over the places of the token. U+FFFD stands for a lost byte: of UTF-8, so that two or three
+    of them are a character of that length, or of a single-byte page."""
+    found: list[Lattice] = []
+    n = len(token)
     if "�" in token:
-        runs = [r for r in _split_runs(token)]
-        for size in (1, 2, 3):  # bytes lost for each character
-            if all(len(r) % size == 0 for r in runs if r[0] == "�"):
-                found.append([s for r in runs for s in (["any"] * (len(r) // size) if r[0] == "�" else [r])])
-    data = []
-    for c in token:  # lead bytes of UTF-8 in Windows-1252 whose continuation was dropped
-        try:
-            data.append(_page("cp1252").index(c))
-        except ValueError:
-            data.append(ord(c) if 0x80 <= ord(c) < 0xA0 else -1)
-    slots, lost, i = [], False, 0
-    while i < len(data):
-        b = data[i]
-        need = 1 if 0xC2 <= b <= 0xDF else 2 if 0xE0 <= b <= 0xEF else 0
-        if need and all(i + k < len(data) and 0x80 <= data[i + k] < 0xC0 for k in range(1, need + 1)):
-            slots.append(bytes(data[i : i + need + 1]).decode("utf-8", "replace"))
-            i += need + 1
-        elif need == 1 and b <= 0xDF:
-            slots.append(np.array([c for c in range((b & 0x1F) << 6, ((b & 0x1F) << 6) + 64) if c >= 0xA0], np.uint64))
-            lost, i = True, i + 1
-        else:
-            slots.append(token[i])
-            i += 1
-    if lost and any(isinstance(s, np.ndarray) for s in slots):
-        found.append(slots)
+        lost = [c == "�" for c in token] + [False] * 3
+        literal = lambda i: [(i + 1, token[i])]
+        found.append([[(i + 1, "single")] if lost[i] else literal(i) for i in range(n)])
+        found.append([[(i + k, name) for k, name in ((2, "two"), (3, "three")) if all(lost[i : i + k])] if lost[i] else literal(i) for i in range(n)])
+    for name in WRONG_SINGLE:  # lead bytes of UTF-8 whose continuations, or the last of them, were dropped
+        table = _bytes_of(name)
+        data = [table.get(c, ord(c) if 0x80 <= ord(c) < 0xA0 else -1) for c in token]
+        if -1 in data and name != "cp1252":
+            continue
+        edges: Lattice = [[] for _ in token]
+        whole, lost_ones, i, possible = 0, 0, 0, True
+        while i < n:
+            b = data[i]
+            need = 1 if 0xC2 <= b <= 0xDF else 2 if 0xE0 <= b <= 0xEF else 0
+            have = 0
+            while have < need and i + have + 1 < n and 0x80 <= data[i + have + 1] < 0xC0:
+                have += 1
+            if need and have == need:
+                edges[i].append((i + need + 1, bytes(data[i : i + need + 1]).decode("utf-8", "replace")))
+                whole += 1
+            elif need and need - have == 1:
+                edges[i].append((i + have + 1, _options(bytes(data[i : i + have + 1]))))
+                lost_ones += 1
+                possible &= len(edges[i][0][1]) > 0
+            else:
+                edges[i].append((i + 1, token[i]))
+                have = 0
+            i += have + 1
+        # elsewhere than in Windows-1252 lead bytes are everyday letters, so that sequences that are whole must bear the reading out
+        if lost_ones and possible and (name == "cp1252" or whole >= 2 * lost_ones):
+            found.append(edges)
     return found
 
 
-def _split_runs(token: str) -> Iterator[str]:
-    start = 0
-    for i in range(1, len(token) + 1):
-        if i == len(token) or (token[i] == "�") != (token[start] == "�"):
-            yield token[start:i]
-            start = i
-
-
-def viterbi(slots: list, model: Model) -> list[str]:
-    """The best texts through a lattice: a beam over the two last characters, weighed by characters in context; the paths that
-    remain are put in the order of their token probability."""
-    beam = [(0.0, _START + _START)]
-    for slot in slots:
-        if isinstance(slot, str) and slot != "any":
-            for ch in slot:
-                low = ord(ch.lower()) if len(ch.lower()) == 1 else ord(ch)
-                step = model.spelled(np.array([ord(p[-2].lower()[:1]) for _, p in beam], np.uint64), np.array([ord(p[-1].lower()[:1]) for _, p in beam], np.uint64), np.uint64(low))
-                beam = [(s + float(x), p + ch) for (s, p), x in zip(beam, step, strict=True)]
+@cache
+def _options(start: bytes) -> np.ndarray:
+    """The characters whose UTF-8 is start and one more byte."""
+    texts = ((start + bytes([last])).decode("utf-8", "ignore") for last in range(0x80, 0xC0))
+    return np.array([ord(t) for t in texts if len(t) == 1 and t >= "\xa0"], np.uint64)
+
+
+def viterbi(lattice: Lattice, model: Model) -> list[str]:
+    """The best texts through a lattice: at each place a beam over the two last characters, weighed by characters in context; the paths
+    that remain are put in the order of their token probability."""
+    low = lambda c: ord(c.lower()[:1])
+    beams: list[list[tuple[float, str]]] = [[] for _ in range(len(lattice) + 1)]
+    beams[0] = [(0.0, _START + _START)]
+    for place, edges in enumerate(lattice):
+        beam = sorted(beams[place], key=lambda x: (-x[0], x[1]))[:BEAM]
+        beams[place] = []
+        if not beam:
             continue
-        options = model.alphabet if isinstance(slot, str) else slot
-        if not len(options):
-            return []
-        lower = np.array([ord(chr(int(c)).lower()[:1]) for c in options], np.uint64)
-        grown = []
-        for s, p in beam:
-            step = model.spelled(np.uint64(ord(p[-2].lower()[:1])), np.uint64(ord(p[-1].lower()[:1])), lower)
-            grown += [(s + float(step[k]), p + chr(int(options[k]))) for k in np.argsort(-step, kind="stable")[:BEAM]]
-        beam = sorted(grown, key=lambda x: (-x[0], x[1]))[:BEAM]
-    texts = list(dict.fromkeys(p[2:] for _, p in beam))
+        for to, what in edges:
+            options = model.options(what) if isinstance(what, str) and what in CLASSES else what
+            if isinstance(options, str):
+                grown = beam
+                for ch in options:
+                    step = model.spelled(np.array([low(p[-2]) for _, p in grown], np.uint64), np.array([low(p[-1]) for _, p in grown], np.uint64), np.uint64(low(ch)))
+                    grown = [(s + float(x), p + ch) for (s, p), x in zip(grown, step, strict=True)]
+                beams[to] += grown
+            elif len(options):
+                before = np.array([[low(p[-2]), low(p[-1])] for _, p in beam], np.uint64)
+                total = np.array([s for s, _ in beam])[:, None] + model.spelled(before[:, :1], before[:, 1:], model.lowered(options)[None, :])
+                best = np.argpartition(-total, BEAM, axis=None)[:BEAM] if total.size > BEAM else range(total.size)
+                beams[to] += [(float(total.flat[k]), beam[k // len(options)][1] + chr(int(options[k % len(options)]))) for k in map(int, best)]
+    texts = sorted({p[2:] for _, p in sorted(beams[-1], key=lambda x: (-x[0], x[1]))[:BEAM]})
     order = np.argsort(-model.score(texts), kind="stable")
     return [texts[i] for i in order]
 
@@ -526,6 +569,16 @@ def viterbi(slots: list, model: Model) -> list[str]:
 _WIDE = -9.9
 
 
+#: Log odds per character against a token of intact text with a sign within a word, see _torn.
+_RARE = 4.5
+
+
+def _torn(token: str) -> bool:
+    """Whether a letter beyond ASCII has a sign beyond ASCII right after it. In a word of intact text that hardly occurs, however often
+    the token does: where such a token reads as UTF-8, its own copies are no evidence that it is intact."""
+    return any(a > "\xbf" and a.isalpha() and "\x7f" < b and not b.isalpha() for a, b in zip(token, token[1:], strict=False))
+
+
 def _ascii_score(text: str) -> float:
     """Log probability of ASCII text by the kinds of its characters; small letters before capitals are rare in it. Text that isn't
     mostly letters, as kana give when taken apart, has none."""
@@ -578,34 +631,43 @@ def _judge(parts: list[tuple[str, bool, bool]], model: Model) -> list[tuple[floa
                 cands.append(text)
                 kinds.append(kind)
         if "�" in token or any(c in _LEADS for c in token):
-            for slots in lattices(token):
-                for text in viterbi(slots, model)[:3]:
+            for lattice in lattices(token):
+                for text in viterbi(lattice, model):
                     cands.append(text)
-                    kinds.append(("lattice", "lost bytes"))
+                    kinds.append(("lattice", LOST))
         spans.append((start, len(cands)))
-    plain = model.score([t for t, _, _ in parts])
+    # intact text never has U+FFFD or C1 controls: the hypothesis that a token with one is as meant has none to speak of
+    lost = ["�" in t or any("\x80" <= c < "\xa0" for c in t) for t, _, _ in parts]
+    plain = np.where(lost, -1e5, model.score([t for t, _, _ in parts]))
     scores = model.score([c.strip("�" + _OPEN) for c in cands], [c.endswith(("�", _OPEN)) for c in cands])
     out = []
-    for (token, _, _), own, (start, end) in zip(parts, plain, spans, strict=True):
-        best, gain = None, -math.inf
+    for (token, _, _), own, certain, (start, end) in zip(parts, plain, lost, spans, strict=True):
+        best, weights = None, []
+        torn = max(0.0, own + _RARE * len(token)) if _torn(token) else 0.0
         for i in range(start, end):
             kind = kinds[i][0]
             # pairs of bytes taken for wide characters: the value is a token by itself, so its count says nothing, and its text is ASCII,
             # which the model has none of; as letters in a row it is weighed against characters drawn by chance
-            g = _ascii_score(cands[i]) + PRIOR[kind] - _WIDE * len(token) if kind == "utf16" else scores[i] + PRIOR[kind] - own + (SHORT.get(len(token), 0.0) if kind in ("single", "multi") else 0.0)
-            if g > gain:
-                best, gain = i, g
-        certain = "�" in token or any("\x80" <= c < "\xa0" for c in token)
-        if certain:
-            gain = max(gain, 50.0)
+            odds = PRIOR[kind] + (SHORT.get(len(token), 0.0) if kind in ("single", "multi") else torn if kind == "utf8" else 0.0)
+            g = odds + (_ascii_score(cands[i]) - _WIDE * len(token) + own if kind == "utf16" else scores[i])
+            weights.append(g)
+            if best is None or g > weights[best - start]:
+                best = i
+        gain = weights[best - start] - own if weights else 1e5 if certain else -math.inf
         text = cands[best].rstrip(_OPEN) if best is not None else None
-        if text is not None and ("�" in text or (certain and not text.strip("�"))):
+        # of a word that is lost as a whole only the length is known
+        if text is not None and ("�" in text or not token.strip("�") and any(map(str.isalnum, text))):
             text = None
+        if text is not None and kinds[best][0] == "lattice":  # several readings of the same text are one
+            same = [w for i, w in zip(range(start, end), weights, strict=True) if cands[i].rstrip(_OPEN) == text]
+            if np.logaddexp.reduce(same) - np.logaddexp.reduce(weights) < math.log(SETTLED):
+                text = None
         out.append((float(gain), kinds[best][1] if best is not None else None, text))
     return out
 
 
-_LEADS = {chr(c) for c in range(0xC2, 0xE0)}
+#: What lead bytes of UTF-8 read as in one of the wrong pages.
+_LEADS = {c for name in WRONG_SINGLE for c in _page(name)[0xC2:0xF0]}
 
 
 def verdicts(vocabulary: DataFrame, model: Model) -> DataFrame:
@@ -629,30 +691,66 @@ def suspects(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("value").rlike(r"[^\x00-\x7F]")).withColumn("tokens", F.array_distinct(F.expr(TOKENS)))
 
 
-def damaged(rows: DataFrame, keys: list[str], salts: int = 8) -> DataFrame:
+def damaged(rows: DataFrame, keys: list[str], salts: int = 8, broadcast: int = BROADCAST_TOKENS) -> DataFrame:
     """The rows (keys, value) with damaged tokens, once per key: keys, value and fixes, an array of (token, channel, restored).
 
-    A token may be in a third of all rows, so the join spreads each token's rows over salts tasks and repeats the verdicts, which
-    are one row per damaged token.
+    Damaged tokens are broadcast once they are counted and no more than ``broadcast``; then no row is shuffled but those that have
+    some. Beyond it they are joined: a token may be in a third of all rows, so the rows of a token are spread over salts tasks and
+    the verdicts, which are one row per damaged token, are repeated. A Bloom filter of fixed size keeps most rows from that shuffle.
     """
     tokens = suspects(rows).select(*keys, "value", F.explode("tokens").alias("token"))
     vocabulary = checkpointed(tokens.groupBy("token").agg(F.count("*").alias("n")))
     found = checkpointed(verdicts(vocabulary, train(vocabulary)))
-    spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hit = tokens.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")).join(spread, ["token", "salt"])
+    if found.count() <= broadcast:
+        hit = tokens.join(F.broadcast(found), "token")
+    else:
+        spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        hit = _maybe(tokens, found, "token").withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")).join(spread, ["token", "salt"])
     return hit.groupBy(*keys).agg(F.first("value").alias("value"), F.collect_set(F.struct("token", "channel", "restored")).alias("fixes"))
 
 
+#: Bits of the Bloom filter: 16 MB, packed to longs. Under 2 % of other rows pass it up to 16 million keys.
+BLOOM_BITS = 1 << 27
+
+
+def _maybe(rows: DataFrame, of: DataFrame, key: str, bits: int = BLOOM_BITS) -> DataFrame:
+    """The rows whose key may be one of those of ``of``: a Bloom filter with two hashes, 64 bits to a word, built by a bitwise or per
+    word in the JVM and broadcast as one array, of bits / 8 bytes at most."""
+    places = lambda c: [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(bits)) for k in (1, 2)]
+    words = of.select(F.explode(F.array(*places(key))).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("mask")).toPandas()
+    table = np.zeros(bits // 64, np.int64)
+    table[words["word"].to_numpy()] = words["mask"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def passes(a: pd.Series, b: pd.Series) -> pd.Series:
+        bit = lambda p: shared.value[p.to_numpy() >> 6] >> (p.to_numpy() & 63) & 1
+        return pd.Series((bit(a) & bit(b)).astype(bool))
+
+    return rows.where(passes(*places(key)))
+
+
 def _restored(value: str, fixes: Iterable) -> str | None:
-    """value with each damaged token put right, digits as they were; null if one of them can't be."""
+    """value with each damaged token put right, digits as they were; null if one of them can't be. Lost characters are found in small
+    letters: they are capitals in a token of capitals, and at the start of a token that starts the value or stands among others
+    that all start with one."""
     by = {f["token"]: f["restored"] for f in fixes}
     if any(v is None for v in by.values()):
         return None
+    lost = {f["token"] for f in fixes if "channel" in f and f["channel"] == LOST}
+    titled = all(w[0].isupper() for w in re.findall(r"[^\W\d_]{3,}", re.sub(r"\S*�\S*|\.\w+$", "", value)))
 
     def right(m: re.Match) -> str:
-        fixed = by.get(re.sub("[0-9]+", "0", m[0]))
+        token = re.sub("[0-9]+", "0", m[0])
+        fixed = by.get(token)
         if fixed is None:
             return m[0]
+        if token in lost:
+            kept = [c for c in token if c.isalpha()]
+            if len(kept) > 1 and all(map(str.isupper, kept)):
+                fixed = fixed.upper()
+            elif token[0] == "�" and (m.start() == 0 or titled):
+                fixed = fixed[:1].upper() + fixed[1:]
         digits = re.findall("[0-9]+", m[0])
         parts = fixed.split("0")
         return "".join(x for pair in zip(parts, [*digits, ""], strict=True) for x in pair) if len(parts) == len(digits) + 1 else fixed
