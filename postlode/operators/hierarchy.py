@@ -7,7 +7,9 @@ round then adds ``stride`` levels. Rounds end when the frontier is empty. What n
 are followed by pointer doubling: after n rounds each knows its ancestor 2^n steps up and the least id on the way; the nodes
 that are still ancestors of something once their number no longer falls are the members of cycles.
 
-Each round is cut off by a checkpoint in the shared folder, so losing an executor costs at most one round.
+Segments are shuffled once, by their top, and kept; a round shuffles only its frontier to them, so over all rounds each node moves
+about once. Below a top with more than HOT rows they are salted and the frontier's row for that top is repeated. Each round is cut
+off by a checkpoint in the shared folder, so losing an executor costs at most one round and the lost part of the segments.
 
 Defined results for odd input
 -----------------------------
@@ -24,10 +26,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlode.session import checkpointed
 
+#: Most segments below one top that stay together; the rows of more are spread by a salt.
+HOT = 200_000
+
 
 def current_nodes(rows: DataFrame, tree: str, node: str, parent: str, order: str, removed: str, name: str | None = None) -> DataFrame:
     """The present records as (tree, node, parent[, name]), of each record the row with the largest order value."""
@@ -52,6 +58,22 @@ def _segments(edges: DataFrame, stride: int, carried: list[str]) -> DataFrame:
     return known
 
 
+def _placed(segments: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The segments in place for all rounds, partitioned and sorted by (tree, top, salt), and the tops that are salted: (tree, top, salts),
+    None without any."""
+    hot = segments.groupBy("tree", "top").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("tree", "top", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
+    hot = checkpointed(hot)
+    n = hot.count()
+    parts = max(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    if n:
+        # one row for HOT rows of the input at least; broadcast while that is a small table
+        marked = segments.join(F.broadcast(hot) if n <= 100_000 else hot, ["tree", "top"], "left")
+        segments = marked.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+    else:
+        segments = segments.withColumn("salt", F.lit(0))
+    return segments.repartition(parts, "tree", "top", "salt").sortWithinPartitions("tree", "top", "salt").persist(StorageLevel.DISK_ONLY), hot if n else None
+
+
 def hierarchy(nodes: DataFrame, stride: int = 8) -> tuple[DataFrame, DataFrame]:
     """From (tree, node, parent[, name]) the pair (reached, unreached).
 
@@ -59,19 +81,22 @@ def hierarchy(nodes: DataFrame, stride: int = 8) -> tuple[DataFrame, DataFrame]:
     cycle_min (the least node on the cycle it ends in) and on_cycle.
     """
     carried = ["node"] + (["name"] if "name" in nodes.columns else [])
-    nodes = checkpointed(nodes)
-    there = nodes.select("tree", F.col("node").alias("parent"))
-    edges = nodes.join(there, ["tree", "parent"])  # a row for each node whose parent is there
-    roots = nodes.join(there, ["tree", "parent"], "left_anti")
-    segments = _segments(edges, stride, carried)
+    there = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("has_parent"))
+    nodes = checkpointed(nodes.join(there, ["tree", "parent"], "left"))
+    edges, roots = nodes.where("has_parent"), nodes.where("has_parent is null")
+    segments, hot = _placed(_segments(edges, stride, carried))
     paths = [F.array(c).alias(f"way_{c}") for c in carried]
     frontier = roots.select("tree", "node", F.col("node").alias("root"), *paths)
     levels = [frontier.withColumn("depth", F.lit(1))]
     depth = 1
     while True:
+        tops = frontier.withColumnRenamed("node", "top").withColumnsRenamed({f"way_{c}": f"up_{c}" for c in carried})
+        if hot is None:
+            tops = tops.withColumn("salt", F.lit(0))
+        else:
+            tops = tops.join(hot, ["tree", "top"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
         grown = checkpointed(
-            frontier.withColumnRenamed("node", "top").withColumnsRenamed({f"way_{c}": f"up_{c}" for c in carried})
-            .join(segments, ["tree", "top"])
+            tops.join(segments, ["tree", "top", "salt"])
             .select("tree", "node", "root", *(F.concat(f"up_{c}", f"way_{c}").alias(f"way_{c}") for c in carried), (F.col("steps") + depth).alias("depth"))
         )
         levels.append(grown)
@@ -79,26 +104,26 @@ def hierarchy(nodes: DataFrame, stride: int = 8) -> tuple[DataFrame, DataFrame]:
         frontier = grown.where(F.col("depth") == depth).drop("depth")
         if frontier.isEmpty():
             break
+    segments.unpersist()
     reached = reduce(DataFrame.unionByName, levels).select("tree", "node", "root", "depth", *(F.col(f"way_{c}").alias(f"{'id' if c == 'node' else c}_path") for c in carried))
     return reached, _cycles(edges, reached)
 
 
 def _cycles(edges: DataFrame, reached: DataFrame) -> DataFrame:
     left = edges.select("tree", "node", "parent").join(reached.select("tree", "node"), ["tree", "node"], "left_anti")
-    # far: the ancestor so many steps up; least: the least id of the nodes from far's successor side, node included, far excluded
+    # far: the ancestor so many steps up; least: the least id of the nodes from node on, node included, far excluded
     hops = checkpointed(left.select("tree", "node", F.col("parent").alias("far"), F.col("node").alias("least")))
-    ends = hops.select("tree", "far").distinct().count()
-    while ends:
-        up = hops.select("tree", F.col("node").alias("far"), F.col("far").alias("farther"), F.col("least").alias("beyond"))
-        longer = checkpointed(hops.join(up, ["tree", "far"]).select("tree", "node", F.col("farther").alias("far"), F.least("least", "beyond").alias("least"), (F.col("beyond") < F.col("least")).alias("fell"), F.col("far").alias("was")))
-        now = longer.select("tree", "far").distinct()
-        members = now.withColumnRenamed("far", "node")
-        falling = longer.where("fell").join(members, ["tree", "node"], "left_semi")
-        n = now.count()
-        hops = longer.drop("fell", "was")
-        if n == ends and falling.isEmpty():
+    before = None
+    while True:
+        # ends: the nodes that are an ancestor of something so many steps up. They only get fewer; once their number and the sum of the
+        # least ids they know stay, they are the members of cycles, and each knows the least id of its cycle
+        ends = hops.select("tree", F.col("far").alias("node")).distinct()
+        now = hops.join(ends, ["tree", "node"], "left_semi").agg(F.count("*").alias("n"), F.sum(F.col("least").cast("decimal(38,0)")).alias("s")).first()
+        if now == before or not now["n"]:
             break
-        ends = n
+        before = now
+        up = hops.select("tree", F.col("node").alias("far"), F.col("far").alias("farther"), F.col("least").alias("beyond"))
+        hops = checkpointed(hops.join(up, ["tree", "far"]).select("tree", "node", F.col("farther").alias("far"), F.least("least", "beyond").alias("least")))
     members = hops.select("tree", F.col("far").alias("node")).distinct().withColumn("on_cycle", F.lit(True))
     least = hops.join(members, ["tree", "node"], "left_semi").select("tree", F.col("node").alias("far"), F.col("least").alias("cycle_min"))
     return hops.join(least, ["tree", "far"]).join(members, ["tree", "node"], "left").select("tree", "node", "cycle_min", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
