@@ -65,13 +65,13 @@ def _placed(segments: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     hot = checkpointed(hot)
     n = hot.count()
     parts = max(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    keys = ["tree", "top"]
     if n:
         # one row for HOT rows of the input at least; broadcast while that is a small table
-        marked = segments.join(F.broadcast(hot) if n <= 100_000 else hot, ["tree", "top"], "left")
+        marked = segments.join(F.broadcast(hot) if n <= 100_000 else hot, keys, "left")
         segments = marked.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
-    else:
-        segments = segments.withColumn("salt", F.lit(0))
-    return segments.repartition(parts, "tree", "top", "salt").sortWithinPartitions("tree", "top", "salt").persist(StorageLevel.DISK_ONLY), hot if n else None
+        keys = [*keys, "salt"]  # without hot tops there is no salt: a constant among the keys would have the rows shuffled again
+    return segments.repartition(parts, *keys).sortWithinPartitions(*keys).persist(StorageLevel.DISK_ONLY), hot if n else None
 
 
 def hierarchy(nodes: DataFrame, stride: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -91,12 +91,10 @@ def hierarchy(nodes: DataFrame, stride: int = 8) -> tuple[DataFrame, DataFrame]:
     depth = 1
     while True:
         tops = frontier.withColumnRenamed("node", "top").withColumnsRenamed({f"way_{c}": f"up_{c}" for c in carried})
-        if hot is None:
-            tops = tops.withColumn("salt", F.lit(0))
-        else:
+        if hot is not None:
             tops = tops.join(hot, ["tree", "top"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
         grown = checkpointed(
-            tops.join(segments, ["tree", "top", "salt"])
+            tops.join(segments, ["tree", "top"] if hot is None else ["tree", "top", "salt"])
             .select("tree", "node", "root", *(F.concat(f"up_{c}", f"way_{c}").alias(f"way_{c}") for c in carried), (F.col("steps") + depth).alias("depth"))
         )
         levels.append(grown)
