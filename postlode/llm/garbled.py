@@ -40,6 +40,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from postlode.llm import bloom
 from postlode.session import checkpointed
 
 #: Code pages that text may have been read with (WRONG) or written in (RIGHT).
@@ -709,25 +710,16 @@ def damaged(rows: DataFrame, keys: list[str], salts: int = 8, broadcast: int = B
     return hit.groupBy(*keys).agg(F.first("value").alias("value"), F.collect_set(F.struct("token", "channel", "restored")).alias("fixes"))
 
 
-#: Bits of the Bloom filter: 16 MB, packed to longs. Under 2 % of other rows pass it up to 16 million keys.
-BLOOM_BITS = 1 << 27
-
-
-def _maybe(rows: DataFrame, of: DataFrame, key: str, bits: int = BLOOM_BITS) -> DataFrame:
-    """The rows whose key may be one of those of ``of``: a Bloom filter with two hashes, 64 bits to a word, built by a bitwise or per
-    word in the JVM and broadcast as one array, of bits / 8 bytes at most."""
-    places = lambda c: [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(bits)) for k in (1, 2)]
-    words = of.select(F.explode(F.array(*places(key))).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("mask")).toPandas()
-    table = np.zeros(bits // 64, np.int64)
-    table[words["word"].to_numpy()] = words["mask"].to_numpy()
+def _maybe(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be one of those of ``of``, by a Bloom filter of fixed size."""
+    table = bloom.built(of.select(F.xxhash64(key).alias("h")), "h")
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
-    def passes(a: pd.Series, b: pd.Series) -> pd.Series:
-        bit = lambda p: shared.value[p.to_numpy() >> 6] >> (p.to_numpy() & 63) & 1
-        return pd.Series((bit(a) & bit(b)).astype(bool))
+    def passes(h: pd.Series) -> pd.Series:
+        return pd.Series(bloom.passes(shared.value, h.to_numpy()))
 
-    return rows.where(passes(*places(key)))
+    return rows.where(passes(F.xxhash64(key)))
 
 
 def _restored(value: str, fixes: Iterable) -> str | None:

@@ -6,8 +6,9 @@ looked for (the necessary prefix of the set, ordered by rarity). A document that
 window, which must lie wholly within the document (length and positional bounds), and whose words are then compared one by one.
 The result therefore is exact.
 
-Rarity is counted over all documents. The items' shingles and windows are broadcast only after their number was counted and is at
-most ``limit``; beyond it both passes are joins over hashed shingles, and candidates are verified after joining the texts by id.
+Each document is read once. Its shingles are tested against a Bloom filter of the items' shingles, of fixed size, which gives their
+counts over all documents (the rarity) and the runs of consecutive hits long enough for a window. Only runs go on: their shingles are
+joined with the prefixes, and the words around each match are compared by built-in expressions. The plan is the same at every size.
 
 Defined results for odd input
 -----------------------------
@@ -22,20 +23,24 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlode.session import spread
+from postlode.llm import bloom
+from postlode.session import checkpointed, spread
 
 WINDOW = 12
 SHINGLE = 4
-#: Shingles of item texts that may be broadcast, about 100 bytes each.
-LIMIT = 500_000
+#: Shingles of consecutive places that a window has.
+SPAN = WINDOW - SHINGLE + 1
+#: Words whose hashes, and counts of shingles, that a task holds at most; and words of runs it sends at once.
+HELD, AT_ONCE = 500_000, 50_000
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
@@ -59,31 +64,24 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text)
 
 
-def shingles(w: list[str]) -> list[str]:
-    return [" ".join(x) for x in zip(*(w[i:] for i in range(SHINGLE)), strict=False)]
+class Hashes:
+    """64-bit hashes of the shingles of a list of words. Words are hashed once; shingles are combined from them in numpy."""
 
+    def __init__(self):
+        self.known: dict[str, int] = {}
 
-def rarest(item: list[str], count: dict[str, int]) -> list[tuple[int, str]]:
-    """(offset, shingle) so that each window of the item's words holds at least one of them at that offset: of each window the
-    shingle that is rarest by count, the lesser text of equals."""
-    s = shingles(item)
-    keyed = [(count.get(x, 0), x, i) for i, x in enumerate(s)]
-    span = WINDOW - SHINGLE + 1
-    return [(i, s[i]) for i in sorted({min(keyed[j : j + span])[2] for j in range(len(item) - WINDOW + 1)})]
-
-
-def matched(doc: list[str], at: int, item: list[str], offset: int) -> bool:
-    """Whether a window of item that holds its word ``offset`` equals the document's words when that word lies at ``at``."""
-    shift = at - offset
-    first, last = max(0, offset - WINDOW + SHINGLE, -shift), min(len(item), offset + WINDOW, len(doc) - shift)
-    if last - first < WINDOW:
-        return False
-    run = 0
-    for k in range(first, last):
-        run = run + 1 if item[k] == doc[k + shift] else 0
-        if run >= WINDOW:
-            return True
-    return False
+    def __call__(self, w: list[str]) -> np.ndarray:
+        known = self.known
+        if len(known) > HELD:
+            known.clear()
+        for x in set(w).difference(known):
+            known[x] = xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))
+        each = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
+        out = np.zeros(max(0, len(w) - SHINGLE + 1), np.uint64)
+        for k in range(SHINGLE):
+            out = (out ^ each[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
 
 
 def item_texts(items: DataFrame) -> DataFrame:
@@ -91,113 +89,98 @@ def item_texts(items: DataFrame) -> DataFrame:
     return items.where("item_id is not null").select("item_id", F.explode(F.array("passage", "question")).alias("body")).where("body is not null")
 
 
-def _scan(documents: DataFrame, each, schema: str, columns: pa.Schema, last=None) -> DataFrame:
-    """mapInArrow over (doc_id, text): each(doc_id, words) yields rows; last() yields rows at the end of a partition."""
+_WORDED = pa.schema([("item_id", pa.int64()), ("words", pa.list_(pa.string())), ("h", pa.list_(pa.int64()))])
+
+
+def worded(texts: DataFrame) -> DataFrame:
+    """(text_id, words, h, items): each distinct list of words of at least WINDOW among item texts, the hashes of its shingles and the
+    items that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {}
-        for batch in batches:
-            rows = [r for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in each(d, words(t), state)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[] for _ in columns], columns, strict=True)], schema=columns)
-        if last:
-            rows = list(last(state))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[] for _ in columns], columns, strict=True)], schema=columns)
+        hashes = Hashes()
+        for b in batches:
+            rows = [(i, w, hashes(w).view(np.int64)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if len(w := words(t)) >= WINDOW]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_WORDED)], schema=_WORDED)
 
-    return spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"), "doc_id").mapInArrow(run, schema)
+    rows = texts.select("item_id", "body").mapInArrow(run, "item_id bigint, words array<string>, h array<bigint>")
+    return rows.groupBy("words", "h").agg(F.collect_set("item_id").alias("items")).withColumn("text_id", F.xxhash64("words"))
 
 
-def leaks(spark: SparkSession, documents: DataFrame, items: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, item_id) of every document that holds WINDOW consecutive words of the item's passage or question."""
-    texts = item_texts(items)
-    size = texts.agg(F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("n")).first()["n"] // 2  # a word and the gap after it take two characters at least
-    return _leaks_broadcast(spark, documents, texts) if size <= limit else _leaks_joined(documents, texts)
-
-
-def _leaks_broadcast(spark: SparkSession, documents: DataFrame, texts: DataFrame) -> DataFrame:
-    owners: dict[tuple, set] = defaultdict(set)
-    for r in texts.collect():  # its size was checked
-        owners[tuple(words(r["body"]))].add(r["item_id"])
-    bodies = sorted(b for b in owners if len(b) >= WINDOW)
-    wanted = spark.sparkContext.broadcast({s for b in bodies for s in shingles(list(b))})
-
-    def tally(_, w, state):
-        state.setdefault("n", Counter()).update(wanted.value.intersection(shingles(w)))
-        return ()
-
-    counts = _scan(documents, tally, "shingle string, n bigint", pa.schema([("shingle", pa.string()), ("n", pa.int64())]), lambda s: s.get("n", Counter()).items())
-    rarity = {r["shingle"]: r["n"] for r in counts.groupBy("shingle").agg(F.sum("n").alias("n")).collect()}  # one row per wanted shingle at most
-    index = defaultdict(list)
-    for k, b in enumerate(bodies):
-        for offset, s in rarest(list(b), rarity):
-            index[s].append((k, offset))
-    shared = spark.sparkContext.broadcast((dict(index), [list(b) for b in bodies], [sorted(owners[b]) for b in bodies]))
-
-    def verify(doc, w, _):
-        prefix, items, ids = shared.value
-        if len(w) < WINDOW:
-            return
-        s = shingles(w)
-        hit = prefix.keys() & set(s)
-        if not hit:
-            return
-        done: set = set()
-        for at, x in enumerate(s):
-            if x in hit:
-                for k, offset in prefix[x]:
-                    if k not in done and matched(w, at, items[k], offset):
-                        done.add(k)
-        for item in {i for k in done for i in ids[k]}:
-            yield doc, item
-
-    return _scan(documents, verify, "doc_id bigint, item_id bigint", pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())])).distinct()
-
-
-def _hash(shingle: str) -> int:
-    return xxhash.xxh3_64_intdigest(shingle) - (1 << 63)
-
-
-_PLACES = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("h", pa.int64())])
-
-
-def _places(documents: DataFrame) -> DataFrame:
-    return _scan(documents, lambda d, w, _: ((d, i, _hash(s)) for i, s in enumerate(shingles(w))) if len(w) >= WINDOW else (), "doc_id bigint, at int, h bigint", _PLACES)
-
-
-def _leaks_joined(documents: DataFrame, texts: DataFrame, salts: int = 16) -> DataFrame:
-    """The same pairs by joins alone, for item texts of any size. A shingle may be in a third of all documents, so its places are
-    counted with a map-side combine, and candidates are joined in salts parts."""
-    bodies = texts.select(F.xxhash64("body").alias("text_id"), "body").distinct()
-    places = _places(documents)
-    wanted = _places(bodies.select(F.col("text_id").alias("doc_id"), F.col("body").alias("text"))).withColumnsRenamed({"doc_id": "text_id", "at": "offset"})
-    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    salted = places.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    known = wanted.select("h").distinct().withColumn("salt", spread)
-    rarity = salted.join(known, ["h", "salt"], "left_semi").groupBy("h").agg(F.count("*").alias("n"))
-    ranked = wanted.join(rarity, "h", "left").select("text_id", F.struct("offset", F.coalesce("n", F.lit(0)).alias("n"), "h").alias("s"))
-    # one row per item text; an item text is a bounded passage, not a corpus
-    per_text = ranked.groupBy("text_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    span = WINDOW - SHINGLE + 1
-    prefix = per_text.select(
-        "text_id",
-        F.explode(
-            F.expr(f"""array_distinct(transform(sequence(0, size(s) - {span}), j ->
-              array_min(transform(slice(s, j + 1, {span}), x -> struct(x.n as n, x.h as h, x.offset as offset)))))""")
-        ).alias("p"),
-    ).select("text_id", "p.offset", "p.h")
-    candidates = salted.join(prefix.withColumn("salt", spread), ["h", "salt"]).select("doc_id", "at", "text_id", "offset")
-    both = (
-        candidates.groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("at", "offset")).alias("places"))
-        .join(documents.select("doc_id", "text"), "doc_id").join(bodies, "text_id")
-    )
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_READ = pa.schema([("doc_id", pa.int64()), ("words", pa.list_(pa.string())), ("h", pa.int64()), ("n", pa.int64())])
+
+
+def read(documents: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """What the documents have of the shingles that pass the filter ``wanted``, in rows of two kinds: (doc_id, words) of each run of words
+    whose shingles all pass, of at least WINDOW words; and (h, n), in how many documents of a task a shingle occurs."""
+    shared = documents.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = Hashes(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            rows = list(counts.items())
+            counts.clear()
+            nothing = pa.nulls(len(rows))
+            return pa.RecordBatch.from_arrays([nothing.cast(pa.int64()), nothing.cast(_READ[1].type), pa.array([h for h, _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64())], schema=_READ)
+
+        def sent(runs: list) -> pa.RecordBatch:
+            nothing = pa.nulls(len(runs)).cast(pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([d for d, _ in runs], pa.int64()), pa.array([w for _, w in runs], _READ[1].type), nothing, nothing], schema=_READ)
+
         for b in batches:
-            keep = []
-            for doc, text_id, text, body, spots in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                w, item = words(text), words(body)
-                if any(matched(w, p["at"], item, p["offset"]) for p in spots):
-                    keep.append((doc, text_id))
-            yield pa.RecordBatch.from_pylist([{"doc_id": d, "text_id": t} for d, t in keep], pa.schema([("doc_id", pa.int64()), ("text_id", pa.int64())]))
-
-    found = both.select("doc_id", "text_id", "text", "body", "places").mapInArrow(verify, "doc_id bigint, text_id bigint")
-    return found.join(texts.select(F.xxhash64("body").alias("text_id"), "item_id").distinct(), "text_id").select("doc_id", "item_id").distinct()
+            runs, size = [], 0
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = words(text)
+                if len(w) < WINDOW:
+                    continue
+                h = hashes(w)
+                hit = bloom.passes(shared.value, h)
+                if not hit.any():
+                    continue
+                counts.update(np.unique(h[hit]).view(np.int64).tolist())
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+                for start, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                    if end - start >= SPAN:
+                        runs.append((doc, w[start : end + SHINGLE - 1]))
+                        size += end - start
+                if size > AT_ONCE:
+                    yield sent(runs)
+                    runs, size = [], 0
+                if len(counts) > HELD:
+                    yield counted()
+            yield sent(runs)
+        yield counted()
+
+    texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    return spread(texts, "doc_id").mapInArrow(run, "doc_id bigint, words array<string>, h bigint, n bigint")
+
+
+def prefixes(items: DataFrame, counts: DataFrame) -> DataFrame:
+    """(text_id, offset, shingle) of worded() texts so that each window of a text holds one of its shingles at that offset: of each
+    window the one that is rarest by counts (h, n), the first of equals."""
+    each = items.select("text_id", F.posexplode("h").alias("offset", "h")).join(counts, "h", "left").select("text_id", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset").alias("s"))
+    # one row per item text; an item text is a bounded passage, not a corpus
+    per_text = each.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("s.offset", "s.n"))).alias("s"))
+    least = F.expr(f"array_distinct(transform(sequence(0, size(s) - {SPAN}), j -> array_min(transform(slice(s, j + 1, {SPAN}), x -> struct(x.n as n, x.offset as offset))).offset))")
+    return per_text.select("text_id", F.explode(least).alias("offset")).join(items.select("text_id", "words"), "text_id").select("text_id", "offset", _shingle("words", F.col("offset")).alias("shingle"))
+
+
+def _shingle(words: str, at) -> F.Column:
+    return F.array_join(F.slice(words, at + 1, SHINGLE), " ")
+
+
+def leaks(spark: SparkSession, documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of every document that holds WINDOW consecutive words of the item's passage or question."""
+    texts = checkpointed(worded(item_texts(items)))
+    seen = checkpointed(read(documents, bloom.built(texts.select(F.explode("h").alias("h")), "h")))
+    prefix = prefixes(texts, seen.where("h is not null").groupBy("h").agg(F.sum("n").alias("n")))
+    runs = seen.where("words is not null").select("doc_id", "words").withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - SHINGLE)))
+    # what a window around a shingle can reach: so many words before it and after its first
+    before, after = F.least(F.lit(WINDOW - SHINGLE), F.col("at")), F.least(F.lit(WINDOW), F.size("words") - F.col("at"))
+    around = runs.select("doc_id", _shingle("words", F.col("at")).alias("shingle"), F.slice("words", F.col("at") - before + 1, before + after).alias("near"), before.alias("before"))
+    # a document often repeats itself, and a shingle that is in very many documents is the rarest of a window only if all are
+    met = around.distinct().join(prefix, "shingle").join(texts.select("text_id", F.col("words").alias("item"), "items"), "text_id")
+    first = F.greatest(-F.col("before"), -F.col("offset"))
+    last = F.least(F.size("near") - F.col("before"), F.size("item") - F.col("offset")) - 1
+    same = F.transform(F.sequence(first, last), lambda d: F.when(F.get("near", F.col("before") + d) == F.get("item", F.col("offset") + d), "1").otherwise("0"))
+    return met.where(F.array_join(same, "").contains("1" * WINDOW)).select("doc_id", F.explode("items").alias("item_id")).distinct()
