@@ -1,9 +1,12 @@
 """References to records that do not exist.
 
 Every key that is referred to or has a record carries two signed counts: how many emitted rows refer to it, and whether a
-record is there. Both are maintained from change deltas, so a new batch of rows costs its own size plus the keys it touches:
-a reference adds +1, a record that appears adds +1 to the existence of its key, one that is removed adds -1. Keys with
-positive references and no existence are the orphan report.
+record is there. Both are maintained from change deltas: a reference adds +1, a record that appears adds +1 to the existence of
+its key, one that is removed adds -1. Keys with positive references and no existence are the orphan report.
+
+A state that is kept over many batches (History) is a log: each batch appends its new reference rows, the newest row of each record it
+changes and its deltas, in buckets by key, and rewrites nothing. To tell what is new it reads the buckets its keys fall into. Counts
+are sums over the log; after ``MOST_BATCHES`` batches it is folded into one.
 
 Records of all tables share the row identity (store_id, seq). The row with the largest seq speaks for a record.
 
@@ -17,9 +20,9 @@ Defined results for odd input
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postlode.session import checkpointed
 
@@ -98,26 +101,67 @@ def initial(folders: DataFrame, messages: DataFrame, attachments: DataFrame) ->
     return State(rows, records, _counts(rows, records.where("present = 1").withColumn("delta", F.lit(1))))
 
 
-def apply(state: State, folders: DataFrame, messages: DataFrame, attachments: DataFrame, cut: bool = True) -> State:
-    """The state after a further batch, whatever order rows arrive in.
-
-    A record's delta is its new minus its old presence, and only where the batch holds a row with a larger seq. cut writes the
-    new state to the checkpoint folder, so that many batches don't pile up in one plan.
-    """
-    new_rows = reference_rows(messages).join(state.rows.select("store_id", "seq", "field"), ["store_id", "seq", "field"], "left_anti")
-    batch = record_rows(folders, messages, attachments)
-    old = state.records.select(*KEY, F.col("seq").alias("old_seq"), F.col("present").alias("old_present"))
-    changed = (
-        batch.join(old, KEY, "left")
-        .where("old_seq is null or seq > old_seq")
-        .withColumn("delta", F.col("present") - F.coalesce("old_present", F.lit(0)))
-    )
-    after = State(
-        state.rows.unionByName(new_rows.select(*state.rows.columns)),
-        _newest(state.records.unionByName(batch)),
-        _counts(new_rows, changed.where("delta <> 0"), state.counts),
-    )
-    return State(*(checkpointed(x) for x in (after.rows, after.records, after.counts))) if cut else after
+#: Buckets of a history by key, and batches after which its log is folded.
+BUCKETS, MOST_BATCHES = 16, 16
+
+
+@dataclass
+class History:
+    """A state below a folder that all executors share: rows, records and deltas of each batch, in buckets. ``batches`` are those that
+    count; whatever else is in the folder is left over from a batch that failed."""
+
+    spark: SparkSession
+    folder: str
+    batches: list[int] = field(default_factory=list)
+    written: int = 0
+
+    def _read(self, name: str, schema: str, buckets: list[int] | None) -> DataFrame:
+        found = None
+        for b in self.batches:
+            one = self.spark.read.schema(f"{schema}, bucket int").parquet(f"{self.folder}/batch={b}/{name}")
+            found = one if found is None else found.unionByName(one)
+        if found is None:
+            found = self.spark.createDataFrame([], f"{schema}, bucket int")
+        return found if buckets is None else found.where(F.col("bucket").isin(buckets))
+
+    def state(self, buckets: list[int] | None = None) -> State:
+        """The state, or that part of it whose keys are in the buckets."""
+        rows, records, deltas = (self._read(n, c, buckets) for n, c in _COLUMNS.items())
+        return State(rows.drop("bucket"), _newest(records), deltas.groupBy(*KEY).agg(F.sum("refs").alias("refs"), F.sum("existing").alias("existing")))
+
+    def _write(self, parts: dict[str, DataFrame]) -> int:
+        """Small buckets share a task, one with a hot key is split."""
+        self.written += 1
+        for name, part in parts.items():
+            part.withColumn("bucket", _bucket()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/batch={self.written}/{name}")
+        return self.written
+
+    def apply(self, folders: DataFrame, messages: DataFrame, attachments: DataFrame) -> None:
+        """Takes in a further batch, whatever order rows arrive in. A record's delta is its new minus its old presence, and only where the
+        batch holds a row with a larger seq. The batch counts once all of it is written, so one that failed can be given again."""
+        refs, batch = checkpointed(reference_rows(messages)), checkpointed(record_rows(folders, messages, attachments))
+        touched = [r["b"] for r in refs.select(_bucket().alias("b")).union(batch.select(_bucket().alias("b"))).distinct().collect()]  # at most BUCKETS
+        before = self.state(touched)
+        # a row delivered again has the same keys, so that it is in the same buckets
+        fresh = checkpointed(refs.join(before.rows.select("store_id", "seq", "field"), ["store_id", "seq", "field"], "left_anti"))
+        old = before.records.select(*KEY, F.col("seq").alias("old_seq"), F.col("present").alias("old_present"))
+        changed = checkpointed(batch.join(old, KEY, "left").where("old_seq is null or seq > old_seq").withColumn("delta", F.col("present") - F.coalesce("old_present", F.lit(0))))
+        deltas = _counts(fresh, changed.where("delta <> 0")).where("refs <> 0 or existing <> 0")
+        self.batches.append(self._write({"rows": fresh, "records": changed.select(*KEY, "seq", "present"), "deltas": deltas}))
+        if len(self.batches) > MOST_BATCHES:
+            whole = self.state()
+            self.batches = [self._write({"rows": whole.rows, "records": whole.records, "deltas": whole.counts.where("refs <> 0 or existing <> 0")})]
+
+
+_COLUMNS = {
+    "rows": "store_id bigint, seq bigint, observed_at timestamp, field string, target string, key_a bigint, key_b bigint",
+    "records": "store_id bigint, target string, key_a bigint, key_b bigint, seq bigint, present int",
+    "deltas": "store_id bigint, target string, key_a bigint, key_b bigint, refs bigint, existing bigint",
+}
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).cast("int")
 
 
 def orphan_keys(state: State) -> DataFrame:

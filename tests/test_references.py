@@ -45,15 +45,16 @@ def test_orphans(spark):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_batches_in_any_order_give_the_same(spark, seed):
+def test_batches_in_any_order_give_the_same(spark, seed, tmp_path):
     rnd = random.Random(seed)
     rows = [("f", x) for x in FOLDERS + LATE] + [("m", x) for x in MESSAGES] + [("a", x) for x in ATTACHMENTS]
     rnd.shuffle(rows)
     batches = [rows[:9], rows[9:16], rows[16:] + rows[:3]]  # the first three come again
     part = lambda b, k: [x for n, x in b if n == k]
-    state = R.initial(*frames(spark, *(part(batches[0], k) for k in "fma")))
-    for b in batches[1:]:
-        state = R.apply(state, *frames(spark, *(part(b, k) for k in "fma")))
+    history = R.History(spark, str(tmp_path))
+    for b in batches:
+        history.apply(*frames(spark, *(part(b, k) for k in "fma")))
+    state = history.state()
     assert found(state) == WANT
     whole = R.initial(*frames(spark, FOLDERS + LATE, MESSAGES, ATTACHMENTS))
     assert sorted(map(tuple, state.counts.where("refs <> 0 or existing <> 0").collect())) == sorted(map(tuple, whole.counts.where("refs <> 0 or existing <> 0").collect()))
@@ -67,3 +68,26 @@ def test_a_hot_key_is_reported_whole(spark):
     m = [(1, k, AT, k, 5, None, None, False) for k in range(3000)]
     assert len(found(R.initial(*frames(spark, [], m, [])))) == 3000
     assert isinstance(R.orphan_keys(R.initial(*frames(spark, [], m, []))).first().refs, int) and T
+
+
+def test_a_history_is_folded_and_a_failed_batch_does_not_count(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "MOST_BATCHES", 1)
+    history = R.History(spark, str(tmp_path))
+    history.apply(*frames(spark, FOLDERS, [], []))
+    assert found(history.state()) == [] and len(history.batches) == 1
+    real = R.History._write
+
+    def broken(self, parts):
+        real(self, parts)
+        raise OSError("lost")
+
+    monkeypatch.setattr(R.History, "_write", broken)
+    with pytest.raises(OSError):
+        history.apply(*frames(spark, LATE, MESSAGES, ATTACHMENTS))
+    monkeypatch.setattr(R.History, "_write", real)
+    assert found(history.state()) == []
+    history.apply(*frames(spark, LATE, MESSAGES, ATTACHMENTS))
+    assert found(history.state()) == WANT and len(history.batches) == 1
+    removed = [(1, 50, AT, 10, True, None)]
+    history.apply(*frames(spark, removed, [], []))  # the folder of row 3 goes
+    assert found(history.state()) == sorted([*WANT, (1, 3, "folder_id")])
