@@ -14,6 +14,9 @@ Defined results for odd input
   null or not well-formed (NaN and Infinity are not JSON), or not an object, there are no rows.
 * An object in place of a list is its entry 0. Entries that aren't objects give no row but keep their position. An empty object
   gives a row. Other keys stay in the object's own fields and aren't entered.
+* Nothing is lost: what of a list of children is no object, an empty or null list, or one that is no list, stays in the own fields
+  (a list as its length and its other entries by position), so that a record can be put together again from its objects and the bridge
+  (rebuilt), and objects that differ only there have different identities.
 * ``embedded`` may be an object or text holding one; other values are no mail.
 * Rows with a null record key are left out. Records of any depth are parsed; nothing recurses.
 """
@@ -146,6 +149,30 @@ def _own(fields: dict) -> str:
         return _canonical({"flat": parts})
 
 
+_GONE = object()
+_RELATIONS = {kind: {key: listed for key, _, listed in of} for kind, of in CHILDREN.items()}
+
+
+def _left(key: str, value: object, kind: str) -> object:
+    """What of a field stays with its object: all of it, but for the children it holds. Of a list with children the other entries stay, by
+    position, with its length; a field that is nothing but children is gone."""
+    listed = _RELATIONS[kind].get(key)
+    if listed is None:
+        return value
+    if isinstance(value, dict):
+        return _GONE if not listed else {"one": True}
+    if listed and isinstance(value, list):
+        others = {str(i): x for i, x in enumerate(value) if not isinstance(x, dict)}
+        return _GONE if value and not others else {"length": len(value), "others": others}
+    if not listed and isinstance(value, str):
+        try:
+            if isinstance(parse(value), dict):
+                return {"text": True}
+        except ValueError:
+            pass
+    return value
+
+
 def objects_of(record: str) -> list[tuple]:
     """All objects of one record, parents first: kind, path, parent's path, relation, ordinal, identity, parent's identity, own fields."""
     try:
@@ -174,8 +201,7 @@ def objects_of(record: str) -> list[tuple]:
     done: list = [None] * len(found)
     for i in range(len(found) - 1, -1, -1):
         kind, _, _, relation, ordinal, obj, parent = found[i]
-        skip = {key for key, _, _ in CHILDREN[kind]}
-        own = _own({k: v for k, v in obj.items() if k not in skip})
+        own = _own({k: v for k, v in ((k, _left(k, v, kind)) for k, v in obj.items()) if v is not _GONE})
         identity = hashlib.blake2b("\x1f".join([kind, own, *sorted(below[i])]).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
         done[i] = (identity, own)
         if parent >= 0:
@@ -220,5 +246,40 @@ def stored_objects(occurrence: DataFrame) -> DataFrame:
 
 
 def flat_table(occurrence: DataFrame, kind: str, fields: tuple[str, ...]) -> DataFrame:
-    """The objects of one kind with the named fields as text columns and the link to the parent."""
-    return occurrence.where(F.col("node_kind") == kind).select("mail_id", "node_path", "parent_path", "ordinal", *(F.get_json_object("content", f"$.{f}").alias(f) for f in fields))
+    """The objects of one kind with the named fields (with dots: fields of objects in them) as text columns, the link to the parent, the identity, and all own fields as
+    canonical JSON, in which unknown keys are."""
+    return occurrence.where(F.col("node_kind") == kind).select("mail_id", "node_path", "parent_path", "ordinal", *(F.get_json_object("content", f"$.{f}").alias(f.replace(".", "_")) for f in fields), "object_id", "content")
+
+
+def unfolded(bridge_rows: DataFrame, objects: DataFrame) -> DataFrame:
+    """The occurrences again, of the bridge and the objects stored once: mail_id, paths, relation, ordinal, ids, and kind and content of
+    the object. Objects have one row each; an object in a third of all places makes a skewed partition, which the adaptive planner
+    splits (spark.sql.adaptive.skewJoin)."""
+    return bridge_rows.drop("node_kind").join(objects.select("object_id", "node_kind", "content"), "object_id")
+
+
+def rebuilt(rows: list[tuple[str, str, str, int, str | None]]) -> object:
+    """The record of one mail, of its rows (path, parent's path, relation, ordinal, content): the value that was parsed, text in
+    ``embedded`` being text again (with its own form lost, as only its value is kept)."""
+    values: dict[str, dict] = {}
+    below: dict[str, dict[str, dict[int, str]]] = {}
+    for path, parent, relation, ordinal, content in rows:
+        values[path] = json.loads(content)
+        if relation:
+            below.setdefault(parent, {}).setdefault(relation, {})[ordinal] = path
+    for path in sorted(values, key=lambda p: -p.count(".")):
+        own = values[path]
+        for relation, children in below.get(path, {}).items():
+            left = own.get(relation)
+            if relation == "embedded":
+                own[relation] = _canonical(values[children[0]]) if left == {"text": True} else values[children[0]]
+            elif left == {"one": True}:
+                own[relation] = values[children[0]]
+            else:
+                length = left["length"] if left else len(children)
+                own[relation] = [values[children[i]] if i in children else left["others"][str(i)] for i in range(length)]
+        for relation in ("recipients", "attachments", "properties"):  # lists without any child
+            left = own.get(relation)
+            if isinstance(left, dict) and left.keys() == {"length", "others"}:
+                own[relation] = [left["others"][str(i)] for i in range(left["length"])]
+    return values["$"]

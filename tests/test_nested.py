@@ -70,3 +70,31 @@ def test_latest_tables_and_objects(spark):
     back = N.bridge(o).where("node_kind = 'recipient'").join(N.stored_objects(o), "object_id").count()
     assert back == 2
     assert N.occurrences(N.latest_records(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+ODD = [
+    '{"recipients": [1, {"properties": {"a": 1}}, null, {}], "attachments": {"embedded": {"subject": "x", "attachments": []}}}',
+    '{"recipients": [], "attachments": null, "properties": "none", "x": {"recipients": [{}]}}',
+    '{"attachments": [{"embedded": {"attachments": [{"embedded": null, "properties": [[1], "t"]}]}}, {"embedded": 5}]}',
+    '{}',
+]
+
+
+@pytest.mark.parametrize("text", ODD)
+def test_a_record_is_put_together_again(text):
+    rows = [(path, up, relation, ordinal, own) for _, path, up, relation, ordinal, _, _, own in N.objects_of(text)]
+    assert N.rebuilt(rows) == N.parse(text)
+
+
+def test_objects_that_differ_in_what_is_no_child_have_other_identities():
+    ids = [N.objects_of(f'{{"recipients": {v}}}')[0][5] for v in ("null", "[]", '["a"]', '["b"]', '[{}]', "{}", '[{}, null]', '"a"')]
+    assert len(set(ids)) == len(ids) and N.objects_of("{}")[0][5] not in ids
+
+
+def test_unfolding_gives_every_place_back(spark):
+    rows = [(k, None, t) for k, t in enumerate(ODD)] + [(9, None, ODD[0])]
+    o = N.occurrences(N.latest_records(spark.createDataFrame(rows, "mail_id bigint, captured_at timestamp, record_json string")))
+    back: dict = {}
+    for r in N.unfolded(N.bridge(o), N.stored_objects(o)).collect():
+        back.setdefault(r.mail_id, []).append((r.node_path, r.parent_path, r.relation, r.ordinal, r.content))
+    assert {k: N.rebuilt(v) for k, v in back.items()} == {k: N.parse(t) for k, _, t in rows}
