@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from postlode.operators.ledger import class_flags
-from postlode.schema import DELETED_ITEMS, IPM_SUBTREE
+from postlode.schema import DELETED_ITEMS, IPM_SUBTREE, SEARCH_ROOT
 
 _MAX_I64 = (1 << 63) - 1
 
@@ -13,10 +13,16 @@ _MAX_I64 = (1 << 63) - 1
 # --- folders --------------------------------------------------------------------------------------------------------------
 
 
+#: Most levels of a folder path; a deeper one is an error, not a shorter path.
+MOST_LEVELS = 64
+#: The folder of messages that name none, by provenance.
+UNFILED = {"normal": "Unfiled Mail", "recovered": "Recovered Mail", "orphan": "Orphan Mail", "fragment": "Fragment Mail"}
+_INVALID = "invalid folder hierarchy"
+
+
 def parsed_address(json: str = "address_json") -> Column:
-    """The address array of its JSON text; null for anything but a list of at most 64 integers."""
-    a = F.from_json(json, "array<int>")
-    return F.when(F.col(json).rlike(r"^\s*\[[\s\d,]*\]\s*$") & (F.size(a) <= 64), a)
+    """The address array of its JSON text, of any length; null for anything but a list of integers."""
+    return F.when(F.col(json).rlike(r"^\s*\[[\s\d,]*\]\s*$"), F.from_json(json, "array<int>"))
 
 
 def visible_folder(address: Column, node: Column) -> Column:
@@ -24,30 +30,83 @@ def visible_folder(address: Column, node: Column) -> Column:
     return (F.size(address) > 0) & ~((node == IPM_SUBTREE) & (F.size(address) == 1))
 
 
+def _named(name: Column, node: Column) -> Column:
+    return F.coalesce(F.nullif(name, F.lit("")), F.concat(F.lit("Recovered Folder "), node.cast("string")))
+
+
 def paths_by_address(folders: DataFrame) -> DataFrame:
-    """(store_id, address, folder_path, unresolved) of folders with an address: the names of the folders at the prefixes of the
-    address, in order. Prefixes are exploded and joined by equality, so nothing recurses. unresolved counts prefixes without a
-    folder; an empty name there or elsewhere reads Recovered Folder and the id. Of several folders at an address the least
-    source_id names it."""
+    """(store_id, address, location, folder_path, error) of the addresses of folders, but for the IPM subtrees' own.
+
+    The path holds the names of the folders at the prefixes of the address, from below the IPM subtree, or from below the root where
+    it is in none; of several folders at an address the last by folder_key names it. An address with a prefix at which no folder is,
+    or of more than MOST_LEVELS levels, has an error and no path. Prefixes are exploded and joined by equality, so nothing recurses.
+    """
     a = folders.where("address is not null")
-    names = a.groupBy("store_id", "address").agg(F.min(F.struct("source_id", "name")).alias("n")).select("store_id", F.col("address").alias("prefix"), F.coalesce(F.nullif("n.name", F.lit("")), F.concat(F.lit("Recovered Folder "), F.col("n.source_id").cast("string"))).alias("part"))
-    steps = a.where("size(address) > 0").select("store_id", "address").distinct().withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.size("address")), lambda i: F.slice("address", 1, i))))
-    found = steps.join(names, ["store_id", "prefix"], "left").groupBy("store_id", "address").agg(F.array_sort(F.collect_list(F.struct(F.size("prefix").alias("k"), "part"))).alias("parts"), F.count_if(F.col("part").isNull()).alias("unresolved"))
-    return found.select("store_id", "address", F.transform(F.filter("parts", lambda p: p["part"].isNotNull()), lambda p: p["part"]).alias("folder_path"), "unresolved")
+    names = a.groupBy("store_id", F.col("address").alias("prefix")).agg(F.max_by(F.struct("source_id", "name"), F.struct(F.coalesce("folder_key", F.lit("")), "source_id")).alias("n")).select("store_id", "prefix", _named(F.col("n.name"), F.col("n.source_id")).alias("part"))
+    ipm = _ipm(a)
+    from_level = F.when(F.col("ipm").isNotNull(), 2).otherwise(1)
+    placed = a.select("store_id", "address", F.get("address", F.lit(0)).alias("top")).distinct().join(ipm, ["store_id", "top"], "left").where("size(address) > 0 and not (ipm is not null and size(address) = 1)")
+    steps = placed.withColumn("prefix", F.explode(F.transform(F.sequence(from_level, F.size("address")), lambda i: F.slice("address", 1, i))))
+    found = steps.join(names, ["store_id", "prefix"], "left").groupBy("store_id", "address", "ipm").agg(F.array_sort(F.collect_list(F.struct(F.size("prefix").alias("k"), "part"))).alias("parts"), F.count_if(F.col("part").isNull()).alias("missing"))
+    error = F.when((F.col("missing") > 0) | (F.size("parts") > MOST_LEVELS), _INVALID)
+    return found.select("store_id", "address", F.when(F.col("ipm").isNull(), "store_root").otherwise("ipm_subtree").alias("location"), F.when(error.isNull(), F.transform("parts", lambda p: p["part"])).alias("folder_path"), error.alias("error"))
+
+
+def _ipm(folders: DataFrame) -> DataFrame:
+    """(store_id, top, ipm): the first index of the addresses of the IPM subtrees, which lie right below the root."""
+    return folders.where((F.col("source_id") == IPM_SUBTREE) & (F.size("address") == 1)).select("store_id", F.element_at("address", 1).alias("top")).distinct().withColumn("ipm", F.lit(True))
+
+
+def deleted_items(folders: DataFrame) -> DataFrame:
+    """(store_id, address): of the folders with the id of deleted items whose direct parent is an IPM subtree, the least address."""
+    found = folders.where((F.col("source_id") == DELETED_ITEMS) & (F.size("address") == 2)).withColumn("top", F.element_at("address", 1)).join(_ipm(folders), ["store_id", "top"], "left_semi")
+    return found.groupBy("store_id").agg(F.min("address").alias("address"))
 
 
 def folder_set(folders: DataFrame) -> DataFrame:
-    """One row per (store_id, location, folder_path): its folders, how many were omitted as duplicates, and its role.
+    """One row per (store_id, location, folder_path) of paths_by_address() without error: the folder that stands for it, its role, and
+    how many were omitted beside it.
+
+    folders: store_id, source_id, address, folder_key and further columns. At the root only ordinary folder ids count, without the
+    search root. The folder at the deleted-items address wins over others, the last of several by folder_key, else the first one.
+    """
+    located = folders.join(paths_by_address(folders).where("error is null").drop("error"), ["store_id", "address"])
+    kept = located.where((F.col("location") != "store_root") | ((F.col("source_id").bitwiseAND(0x1F) == 2) & (F.col("source_id") != SEARCH_ROOT)))
+    marked = kept.join(deleted_items(folders).withColumn("_d", F.lit(True)), ["store_id", "address"], "left")
+    place = F.struct(F.coalesce("folder_key", F.lit("")), "source_id")
+    value = F.struct("source_id", F.when(F.col("_d"), "deleted_items").otherwise("ordinary").alias("role"))
+    won = marked.groupBy("store_id", "location", "folder_path").agg(F.max_by(F.when(F.col("_d"), value), F.when(F.col("_d"), place)).alias("deleted"), F.min_by(value, place).alias("first"), (F.count("*") - 1).alias("omitted"))
+    return won.withColumn("w", F.coalesce("deleted", "first")).select("store_id", "location", "folder_path", "w.source_id", "w.role", "omitted")
+
 
-    folders: store_id, source_id, address, folder_path, folder_key. IPM addresses are those of the subtree's id right below the
-    root; a path below one is in ipm_subtree, others in store_root. A deleted-items folder wins over an ordinary one, else the
-    first by folder_key.
+def paths_by_parent(folders: DataFrame) -> DataFrame:
+    """(store_id, source_id, folder_path, error) of folders by their parents: names from the top down, leaving out the root and the IPM
+    subtree as their addresses show them. A parent that is not there ends the path as Recovered Folder and its id. A folder on or below
+    a cycle, or with more than MOST_LEVELS names, has an error and no path. An empty path stays empty.
+
+    folders: store_id, source_id, parent_source_id, name, address, one row each.
     """
-    ipm = folders.where((F.col("source_id") == IPM_SUBTREE) & (F.size("address") == 1)).select("store_id", F.element_at("address", 1).alias("_top")).distinct().withColumn("ipm", F.col("_top"))
-    located = folders.withColumn("_top", F.get("address", F.lit(0))).join(ipm, ["store_id", "_top"], "left")
-    role = F.when((F.col("source_id") == DELETED_ITEMS) & F.col("ipm").isNotNull(), "deleted_items").otherwise("ordinary")
-    kept = located.withColumns({"location": F.when(F.col("ipm").isNotNull(), "ipm_subtree").otherwise("store_root"), "role": role})
-    return kept.groupBy("store_id", "location", "folder_path").agg(F.min(F.struct((F.col("role") == "ordinary").alias("o"), "folder_key", "source_id", "role")).alias("w"), (F.count("*") - 1).alias("omitted")).select("store_id", "location", "folder_path", "w.source_id", "w.role", "omitted")
+    from postlode.operators import hierarchy as H
+
+    seen = F.when(F.col("address").isNull() | visible_folder(F.col("address"), F.col("source_id")), _named(F.col("name"), F.col("source_id")))
+    nodes = folders.where("store_id is not null and source_id is not null").select(F.col("store_id").alias("tree"), F.col("source_id").alias("node"), F.col("parent_source_id").alias("parent"), seen.alias("name"))
+    reached, rest = H.hierarchy(nodes)
+    lost = nodes.where("parent is not null").select("tree", F.col("node").alias("root"), F.concat(F.lit("Recovered Folder "), F.col("parent").cast("string")).alias("above"))
+    whole = F.concat(F.when(F.col("above").isNotNull(), F.array("above")).otherwise(F.array().cast("array<string>")), F.array_compact("name_path"))
+    named = reached.join(lost, ["tree", "root"], "left").select("tree", "node", whole.alias("p"))
+    good = named.select("tree", "node", F.when(F.size("p") <= MOST_LEVELS, F.col("p")).alias("folder_path"), F.when(F.size("p") > MOST_LEVELS, _INVALID).alias("error"))
+    bad = rest.select("tree", "node", F.lit(None).cast("array<string>").alias("folder_path"), F.lit(_INVALID).alias("error"))
+    return good.unionByName(bad).withColumnsRenamed({"tree": "store_id", "node": "source_id"})
+
+
+def filed(messages: DataFrame, paths: DataFrame) -> DataFrame:
+    """(store_id, seq, folder_path, error) of messages by folder_id and paths_by_parent(): a folder that is not there is a Recovered
+    Folder; no folder, or one whose path is empty, is the one of UNFILED for the provenance. Nearly all messages may be in one folder, which is one row of
+    paths: the adaptive planner broadcasts paths or splits that partition."""
+    j = messages.join(paths.withColumnRenamed("source_id", "folder_id").withColumn("_there", F.lit(True)), ["store_id", "folder_id"], "left")
+    unfiled = F.array(F.element_at(F.create_map(*(F.lit(x) for kv in UNFILED.items() for x in kv)), F.col("provenance")))
+    path = F.when(F.col("folder_id").isNull(), unfiled).when(F.col("_there").isNull(), F.array(F.concat(F.lit("Recovered Folder "), F.col("folder_id").cast("string")))).when(F.size("folder_path") == 0, unfiled).otherwise(F.col("folder_path"))
+    return j.select("store_id", "seq", path.alias("folder_path"), "error")
 
 
 def unambiguous(folders: DataFrame, key: str) -> DataFrame:
@@ -185,9 +244,12 @@ def ranked(rows: DataFrame, by: list[str], order: list[Column], name: str = "n")
     return rows.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
 
 
-def display_names(m: DataFrame) -> DataFrame:
-    """Display name of associated messages: their sender's name, else their subject, else (no subject)."""
-    return m.where("associated").select("store_id", "seq", F.coalesce(F.nullif("sender_name", F.lit("")), F.nullif("subject", F.lit("")), F.lit("(no subject)")).alias("display_name"))
+def display_names(messages: DataFrame) -> DataFrame:
+    """(key.., display_name, how) of associated messages: their own display name (property 0x3001), else their subject (derived), else
+    (no subject) (generated). messages: display_name and subject among its columns."""
+    own, subject = F.nullif("display_name", F.lit("")), F.nullif("subject", F.lit(""))
+    how = F.when(own.isNotNull(), "kept").when(subject.isNotNull(), "derived").otherwise("generated")
+    return messages.withColumn("display_name", F.coalesce(own, subject, F.lit("(no subject)"))).withColumn("how", how)
 
 
 def propagated_rejections(candidates: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def pack_overlap(t: Tables) -> DataFrame:
     ends = b.groupBy("store_id", "range").agg(F.max("end").alias("e"))
     earlier = ends.select("store_id", "range", F.max("e").over(W.partitionBy("store_id").orderBy("range").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
     inside = b.withColumn("previous", F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)))
-    return inside.join(earlier, ["store_id", "range"]).where("pack_offset < greatest(coalesce(previous, 0), coalesce(before, 0))").select("store_id", F.col("sha256").alias("offender"))
+    return inside.join(earlier, ["store_id", "range"]).where("pack_offset < greatest(previous, before)").select("store_id", F.col("sha256").alias("offender"))
 
 
 def blob_identity(t: Tables) -> DataFrame:

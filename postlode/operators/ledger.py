@@ -39,13 +39,32 @@ def item_key(provenance="provenance", node="source_node_id", index="recovery_ind
     return F.concat_ws(":", F.col(provenance), part(node), part(index), F.col(occurrence).cast("string"))
 
 
+def last_before(rows: DataFrame, keys: list[str], seq: str, value: str, into: str, block: int = 1 << 16) -> DataFrame:
+    """Adds into: the non-null value of the row before it (by seq) within each key, nulls in keys being equal; null without one.
+
+    A key may hold a third of all rows. A window spans a key and a block of seq, which has at most block rows; the last value of each
+    block is one row, and those are carried over the blocks of a key and joined back.
+    """
+    k = rows.withColumn("_k", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})).withColumn("_b", F.floor(F.col(seq) / block))
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    ends = k.where(F.col(value).isNotNull()).groupBy("_k", "_b").agg(F.max_by(value, seq).alias("_e"))
+    blocks = k.select("_k", "_b").distinct().join(ends, ["_k", "_b"], "left")
+    carried = blocks.select("_k", "_b", last("_e", W.partitionBy("_k").orderBy("_b")).alias("_c"))
+    return k.withColumn("_l", last(value, W.partitionBy("_k", "_b").orderBy(seq))).join(carried, ["_k", "_b"]).withColumn(into, F.coalesce("_l", "_c")).drop("_k", "_b", "_l", "_c")
+
+
 def with_parent(candidates: DataFrame) -> DataFrame:
-    """Adds parent_item_key: the latest earlier candidate (by seq) of the same store and provenance whose node is the row's
-    parent_message_id; null without one. Parents are matched by equi-join and reduced by max_by, so nothing is sorted whole."""
-    child = candidates.where("parent_message_id is not null").select("store_id", "provenance", F.col("seq").alias("child_seq"), F.col("parent_message_id").alias("node"))
-    parent = candidates.where("source_node_id is not null").select("store_id", "provenance", F.col("source_node_id").alias("node"), "seq", "item_key")
-    best = child.join(parent, ["store_id", "provenance", "node"]).where("seq < child_seq").groupBy("store_id", F.col("child_seq").alias("seq")).agg(F.max_by("item_key", "seq").alias("parent_item_key"))
-    return candidates.join(best, ["store_id", "seq"], "left")
+    """Adds parent_item_key: of a row with a parent_message_id, the latest earlier candidate (by seq) of the same store, provenance and
+    recovery index whose embedded path is the row's path without its last index, and that is not pending; null without one. A row whose
+    path is empty or ends in another index than parent_attachment_index has none."""
+    same = ["store_id", "provenance", "recovery_index"]
+    own = candidates.select(*same, "seq", F.coalesce("embedded_path", F.array().cast("array<int>")).alias("way"), F.when(F.col("status") != "pending", F.col("item_key")).alias("item_key"))
+    embedded = candidates.where("parent_message_id is not null and size(embedded_path) > 0 and element_at(embedded_path, -1) <=> parent_attachment_index")
+    asking = embedded.select(*same, "seq", F.slice("embedded_path", 1, F.size("embedded_path") - 1).alias("way"), F.lit(None).cast("string").alias("item_key"))
+    # a row may ask under the same path that others answer for; it never answers itself, as its own path is longer
+    both = own.withColumn("asks", F.lit(False)).unionByName(asking.withColumn("asks", F.lit(True)))
+    found = last_before(both, [*same, "way"], "seq", "item_key", "parent_item_key").where("asks and parent_item_key is not null").select("store_id", "seq", "parent_item_key")
+    return candidates.join(found, ["store_id", "seq"], "left")
 
 
 def first_wins(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +141,7 @@ def class_flags(c: Column) -> dict[str, Column]:
         "is_calendar_exception": F.coalesce(F.lower(c) == "ipm.ole.class.{00061055-0000-0000-c000-000000000046}", F.lit(False)),
     }
     sent = any_of("IPM.Note") | descends_from(c, "REPORT.IPM.Note") | flags["is_meeting"]
-    flags["sender_optional"] = ~sent | flags["is_contact"] | flags["is_appointment"] | flags["is_task"] | flags["is_note_item"]
+    flags["sender_optional"] = ~sent
     return flags
 
 
@@ -140,6 +159,15 @@ def job_summary(candidates: DataFrame, by: list[str] | None = None) -> DataFrame
     return candidates.groupBy(*(by or [])).agg(F.count("*").alias("total"), hits("status", "spooled"), hits("status", "written"), hits("status", "unsupported"), hits("completeness", "partial"), hits("completeness", "damaged"), F.count_if(F.col("provenance") != "normal").alias("recovered_items"))
 
 
+def rejection_counts(candidates: DataFrame, events: DataFrame) -> DataFrame:
+    """(rule, category, n): rejected candidates by the category of their one rejection event (rule counted), and those that break the
+    rule: rejected ones with no event or several, and others with one. A category that is null reads as a dash."""
+    e = events.where("kind = 'output_unrepresentable'").groupBy("store_id", "item_key").agg(F.count("*").alias("_n"), F.min(F.get_json_object("metadata_json", "$.category")).alias("category"))
+    j = candidates.select("store_id", "item_key", "status").join(e, ["store_id", "item_key"], "left").where("status = 'unsupported' or _n is not null")
+    rule = F.when(F.col("status") != "unsupported", "not rejected").when(F.col("_n").isNull(), "no event").when(F.col("_n") > 1, "several events").otherwise("counted")
+    return j.select(rule.alias("rule"), F.when(rule == "counted", F.coalesce("category", F.lit("-"))).otherwise("-").alias("category")).groupBy("rule", "category").agg(F.count("*").alias("n"))
+
+
 def blob_totals(blobs: DataFrame) -> DataFrame:
     return blobs.agg(F.count("*").alias("blobs"), F.coalesce(F.sum("byte_len"), F.lit(0)).alias("bytes"), F.coalesce(F.max(F.col("pack_offset") + F.col("byte_len")), F.lit(0)).alias("pack_end"))
 

@@ -19,21 +19,35 @@ _FOLDERS = """
 WITH RECURSIVE lf AS (SELECT store_id, source_id, arg_max(struct_pack(folder_key := folder_key, parent := parent_source_id, name := name, a := address_json), seq) AS v FROM folders GROUP BY 1, 2),
 f AS (SELECT store_id, source_id, v.folder_key AS folder_key, v.parent AS parent_source_id, v.name AS name, v.a AS address_json,
   CASE WHEN regexp_full_match(v.a, '\\s*\\[[\\s\\d,]*\\]\\s*') AND json_valid(v.a) THEN CAST(CAST(v.a AS JSON) AS INT[]) END AS address FROM lf),
-nm AS (SELECT store_id, address AS prefix, arg_min(coalesce(nullif(name, ''), 'Recovered Folder ' || source_id), source_id) AS part FROM f WHERE address IS NOT NULL GROUP BY 1, 2),
-st AS (SELECT store_id, address, unnest(range(1, len(address) + 1)) AS k FROM (SELECT DISTINCT store_id, address FROM f WHERE len(address) > 0)),
-fp AS (SELECT st.store_id, st.address, coalesce(list(part ORDER BY k) FILTER (part IS NOT NULL), []) AS folder_path, count(*) FILTER (part IS NULL) AS unresolved
-  FROM st LEFT JOIN nm ON nm.store_id = st.store_id AND nm.prefix = st.address[1:k] GROUP BY 1, 2)
+ipm AS (SELECT DISTINCT store_id, address FROM f WHERE source_id = 32802 AND len(address) = 1),
+byaddr AS (SELECT store_id, address, coalesce(nullif(name, ''), 'Recovered Folder ' || source_id) AS part FROM f WHERE address IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY store_id, address ORDER BY coalesce(folder_key, '') DESC, source_id DESC) = 1),
+climb AS (
+  SELECT store_id, address, address AS here, CAST([] AS VARCHAR[]) AS path, false AS missing FROM (SELECT DISTINCT store_id, address FROM f WHERE address IS NOT NULL) x
+  WHERE NOT EXISTS (SELECT 1 FROM ipm WHERE ipm.store_id = x.store_id AND ipm.address = x.address)
+  UNION ALL
+  SELECT c.store_id, c.address, c.here[1:len(c.here) - 1], list_prepend(b.part, c.path), b.part IS NULL
+  FROM climb c LEFT JOIN byaddr b ON b.store_id = c.store_id AND b.address = c.here
+  WHERE len(c.here) > 0 AND NOT c.missing AND NOT EXISTS (SELECT 1 FROM ipm WHERE ipm.store_id = c.store_id AND ipm.address = c.here)),
+fp AS (
+  SELECT store_id, address, CASE WHEN len(here) = 0 THEN 'store_root' ELSE 'ipm_subtree' END AS location, CASE WHEN NOT missing AND len(path) <= 64 THEN path END AS folder_path,
+    CASE WHEN missing OR len(path) > 64 THEN 'invalid folder hierarchy' END AS error
+  FROM climb c WHERE len(address) > 0 AND (missing OR len(here) = 0 OR EXISTS (SELECT 1 FROM ipm WHERE ipm.store_id = c.store_id AND ipm.address = c.here))),
+del AS (SELECT store_id, min(address) AS address FROM f WHERE source_id = 32866 AND EXISTS (SELECT 1 FROM ipm WHERE ipm.store_id = f.store_id AND ipm.address = f.address[1:len(f.address) - 1]) GROUP BY 1)
 """
 
 
 def address_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return C.paths_by_address(folders(spark, sf)).select("store_id", F.to_json("address").alias("address"), F.array_join("folder_path", "/").alias("folder_path"), "unresolved")
+    paths = C.paths_by_address(folders(spark, sf)).withColumn("location", F.when(F.col("error").isNull(), F.col("location")))
+    return paths.withColumns({"address": F.to_json("address"), "folder_path": F.array_join("folder_path", "/")})
 
 
 def folder_set(spark: SparkSession, sf: str) -> DataFrame:
-    f = folders(spark, sf)
-    paths = C.paths_by_address(f)
-    return C.folder_set(f.join(paths, ["store_id", "address"]).where("unresolved = 0")).withColumn("folder_path", F.array_join("folder_path", "/"))
+    return C.folder_set(folders(spark, sf)).withColumn("folder_path", F.array_join("folder_path", "/"))
+
+
+def deleted_items(spark: SparkSession, sf: str) -> DataFrame:
+    return C.deleted_items(folders(spark, sf)).withColumn("address", F.to_json("address"))
 
 
 def visible(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,14 +60,17 @@ def unambiguous(spark: SparkSession, sf: str) -> DataFrame:
     return C.unambiguous(f, "address_text").select("store_id", "source_id")
 
 
-def bounded_parent_path(spark: SparkSession, sf: str) -> DataFrame:
-    """Folders within 64 levels of a root, their depth and whether the way up met a missing parent."""
-    from postlode.operators import hierarchy as H
+def parent_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return C.paths_by_parent(_unique(spark, sf)).withColumn("folder_path", F.to_json("folder_path"))
+
 
-    nodes = H.current_nodes(table(spark, sf, "folders"), "store_id", "source_id", "parent_source_id", "seq", "removed")
-    reached, _ = H.hierarchy(nodes)
-    roots = nodes.select("tree", F.col("node").alias("root"), F.col("parent").isNotNull().alias("missing_parent"))
-    return reached.where("depth <= 64").join(roots, ["tree", "root"]).select(F.col("tree").alias("store_id"), F.col("node").alias("source_id"), "depth", "missing_parent")
+def _unique(spark: SparkSession, sf: str) -> DataFrame:
+    return folders(spark, sf).select("store_id", "source_id", "parent_source_id", "name", "address")
+
+
+def filed(spark: SparkSession, sf: str) -> DataFrame:
+    m = B.messages(spark, sf).where("parent_message_id is null").select("store_id", "seq", "folder_id", "provenance")
+    return C.filed(m, C.paths_by_parent(_unique(spark, sf))).withColumn("folder_path", F.to_json("folder_path"))
 
 
 def classes(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,6 +106,17 @@ def prefixes(spark: SparkSession, sf: str) -> DataFrame:
     return items.select("store_id", "location", F.explode(L.folder_prefixes("folder_path")).alias("p")).groupBy("store_id", "location", F.array_join("p", "/").alias("prefix")).agg(F.count("*").alias("mails"))
 
 
+#: Follows _FOLDERS: every folder's walk up its parents, step by step.
+_UP = """, walk AS (
+  SELECT store_id, source_id, source_id AS id, CAST([] AS VARCHAR[]) AS path, CAST([] AS BIGINT[]) AS seen, false AS ended, false AS bad FROM f
+  UNION ALL
+  SELECT w.store_id, w.source_id, g.parent_source_id,
+    CASE WHEN g.source_id IS NULL THEN list_prepend('Recovered Folder ' || w.id, w.path)
+         WHEN g.address IS NULL OR (len(g.address) > 0 AND NOT (g.source_id = 32802 AND len(g.address) = 1)) THEN list_prepend(coalesce(nullif(g.name, ''), 'Recovered Folder ' || w.id), w.path) ELSE w.path END,
+    list_append(w.seen, w.id), g.source_id IS NULL OR g.parent_source_id IS NULL, list_contains(w.seen, w.id)
+  FROM walk w LEFT JOIN f g ON g.store_id = w.store_id AND g.source_id = w.id WHERE NOT w.ended AND NOT w.bad),
+bypar AS (SELECT store_id, source_id, CASE WHEN NOT bad AND len(path) <= 64 THEN path END AS folder_path, CASE WHEN bad OR len(path) > 64 THEN 'invalid folder hierarchy' END AS error FROM walk WHERE ended OR bad)
+"""
 _MSG = "WITH m AS (SELECT DISTINCT ON (store_id, seq) * FROM messages),"
 _D = lambda root: f"(lower(c) LIKE lower('{root}') || '.%' AND length(c) > {len(root) + 1})"
 _ID = lambda root: f"(lower(c) = lower('{root}') OR {_D(root)})"
@@ -110,7 +138,9 @@ _MIMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.EXTENSIONS.items())
 
 QUERIES = {
     "R07_folder_path_by_address": address_paths,
-    "R08_folder_path_by_parent": bounded_parent_path,
+    "R08_folder_path_by_parent": parent_paths,
+    "R08_F38_message_folders": filed,
+    "A25_deleted_items_address": deleted_items,
     "X04_folder_set": folder_set,
     "P12_visible_folders": visible,
     "P13_store_root_folders": lambda spark, sf: folders(spark, sf).where("source_id & 31 = 2 and source_id <> 32834").select("store_id", "source_id"),
@@ -126,13 +156,15 @@ QUERIES = {
     "X02_I16_ownership_errors": ownership,
 }
 SQL = {
-    "R07_folder_path_by_address": _FOLDERS + "SELECT store_id, CAST(to_json(address) AS VARCHAR) AS address, array_to_string(folder_path, '/') AS folder_path, unresolved FROM fp",
+    "R07_folder_path_by_address": _FOLDERS + "SELECT store_id, CAST(to_json(address) AS VARCHAR) AS address, CASE WHEN error IS NULL THEN location END AS location, array_to_string(folder_path, '/') AS folder_path, error FROM fp",
+    "A25_deleted_items_address": _FOLDERS + "SELECT store_id, CAST(to_json(address) AS VARCHAR) AS address FROM del",
     "X04_folder_set": _FOLDERS
-    + """, ipm AS (SELECT DISTINCT store_id, address[1] AS i FROM f WHERE source_id = 32802 AND len(address) = 1),
-      loc AS (SELECT f.*, fp.folder_path, CASE WHEN ipm.i IS NULL THEN 'store_root' ELSE 'ipm_subtree' END AS location, CASE WHEN source_id = 32866 AND ipm.i IS NOT NULL THEN 'deleted_items' ELSE 'ordinary' END AS role
-        FROM f JOIN fp ON fp.store_id = f.store_id AND fp.address = f.address AND unresolved = 0 LEFT JOIN ipm ON ipm.store_id = f.store_id AND ipm.i = f.address[1])
-      SELECT store_id, location, array_to_string(folder_path, '/') AS folder_path, first(source_id ORDER BY role = 'ordinary', folder_key NULLS FIRST, source_id) AS source_id, first(role ORDER BY role = 'ordinary', folder_key NULLS FIRST, source_id) AS role, count(*) - 1 AS omitted
-      FROM loc GROUP BY store_id, location, loc.folder_path""",
+    + """, loc AS (SELECT f.store_id, f.source_id, coalesce(f.folder_key, '') AS k, fp.location, fp.folder_path, del.address IS NOT NULL AS d
+        FROM f JOIN fp ON fp.store_id = f.store_id AND fp.address = f.address AND fp.error IS NULL LEFT JOIN del ON del.store_id = f.store_id AND del.address = f.address
+        WHERE fp.location <> 'store_root' OR (source_id & 31 = 2 AND source_id <> 32834)),
+      won AS (SELECT *, count(*) OVER (PARTITION BY store_id, location, folder_path) - 1 AS omitted,
+        row_number() OVER (PARTITION BY store_id, location, folder_path ORDER BY k, source_id) AS up, row_number() OVER (PARTITION BY store_id, location, folder_path ORDER BY NOT d, k DESC, source_id DESC) AS down, bool_or(d) OVER (PARTITION BY store_id, location, folder_path) AS any_d FROM loc)
+      SELECT store_id, location, array_to_string(folder_path, '/') AS folder_path, source_id, CASE WHEN any_d THEN 'deleted_items' ELSE 'ordinary' END AS role, omitted FROM won WHERE CASE WHEN any_d THEN down = 1 ELSE up = 1 END""",
     "P12_visible_folders": _FOLDERS + "SELECT store_id, source_id FROM f WHERE len(address) > 0 AND NOT (source_id = 32802 AND len(address) = 1)",
     "P13_store_root_folders": _FOLDERS + "SELECT store_id, source_id FROM f WHERE source_id & 31 = 2 AND source_id <> 32834",
     "J11_unambiguous_folders": _FOLDERS + "SELECT store_id, source_id FROM (SELECT *, count(*) OVER (PARTITION BY store_id, address) AS n FROM f WHERE address IS NOT NULL) WHERE n = 1",
@@ -161,11 +193,8 @@ SQL = {
         WHEN c.parent_item_key IS NOT NULL AND c.embedded_path IS DISTINCT FROM list_append(coalesce(p.embedded_path, []), c.parent_attachment_index) THEN 'path differs from parent''s' END AS rule
         FROM cand c LEFT JOIN cand p ON p.store_id = c.store_id AND p.item_key = c.parent_item_key)
       SELECT * FROM o WHERE rule IS NOT NULL""",
-    "R08_folder_path_by_parent": """
-WITH RECURSIVE latest AS (SELECT store_id, source_id, arg_max({'p': parent_source_id, 'g': coalesce(removed, false)}, seq) AS v FROM folders GROUP BY ALL),
-f AS (SELECT store_id, source_id, v.p AS p FROM latest WHERE NOT v.g),
-e AS (SELECT f.*, q.source_id AS parent FROM f LEFT JOIN f q ON q.store_id = f.store_id AND q.source_id = f.p),
-up AS (SELECT store_id, source_id, 1 AS depth, p IS NOT NULL AS missing_parent FROM e WHERE parent IS NULL
-  UNION ALL SELECT e.store_id, e.source_id, up.depth + 1, up.missing_parent FROM up JOIN e ON e.store_id = up.store_id AND e.parent = up.source_id)
-SELECT * FROM up WHERE depth <= 64""",
+    "R08_folder_path_by_parent": _FOLDERS + _UP + "SELECT store_id, source_id, CAST(to_json(folder_path) AS VARCHAR) AS folder_path, error FROM bypar",
+    "R08_F38_message_folders": _FOLDERS + _UP + """SELECT m.store_id, m.seq, CAST(to_json(CASE WHEN m.folder_id IS NULL OR len(b.folder_path) = 0 THEN [CASE provenance WHEN 'normal' THEN 'Unfiled Mail' WHEN 'recovered' THEN 'Recovered Mail' WHEN 'orphan' THEN 'Orphan Mail' WHEN 'fragment' THEN 'Fragment Mail' END]
+        WHEN b.source_id IS NULL THEN ['Recovered Folder ' || m.folder_id] ELSE b.folder_path END) AS VARCHAR) AS folder_path, b.error
+        FROM (SELECT DISTINCT ON (store_id, seq) * FROM messages) m LEFT JOIN bypar b ON b.store_id = m.store_id AND b.source_id = m.folder_id WHERE m.parent_message_id IS NULL""",
 }

@@ -26,7 +26,7 @@ def candidate_rows(spark: SparkSession, sf: str) -> DataFrame:
     status = F.when(gone, "failed").when(~L.supported_class(F.coalesce("message_class", F.lit("")), F.size("embedded_path") > 0) | ~F.coalesce("supported", F.lit(False)), "unsupported").when(F.col("seq") % 3 == 0, "written").otherwise("spooled")
     completeness = F.when(F.col("message_class").isNull(), "damaged").when(F.col("submit_filetime").isNull(), "partial").otherwise("complete")
     return m.select(
-        "store_id", "seq", "provenance", F.col("message_id").alias("source_node_id"), "recovery_index", "parent_message_id", "parent_attachment_index", "folder_id", "message_class", "associated",
+        "store_id", "seq", "provenance", F.nullif("message_id", F.lit(0)).alias("source_node_id"), "recovery_index", "parent_message_id", "parent_attachment_index", "folder_id", "message_class", "associated",
         F.coalesce(F.to_json("embedded_path"), F.lit("[]")).alias("embedded_path_json"), "embedded_path", F.size(F.coalesce("embedded_path", F.array().cast("array<int>"))).alias("embedded_depth"),
         completeness.alias("completeness"), status.alias("status"),
     )
@@ -39,18 +39,21 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 _CANDIDATES = """
 WITH RECURSIVE m AS (SELECT DISTINCT ON (store_id, seq) * FROM messages),
 k AS (
-  SELECT store_id, seq, provenance, message_id AS source_node_id, recovery_index, parent_message_id, parent_attachment_index, folder_id, message_class, associated, embedded_path,
+  SELECT store_id, seq, provenance, nullif(message_id, 0) AS source_node_id, recovery_index, parent_message_id, parent_attachment_index, folder_id, message_class, associated, embedded_path,
     coalesce(CAST(to_json(embedded_path) AS VARCHAR), '[]') AS embedded_path_json, coalesce(len(embedded_path), 0) AS embedded_depth,
     CASE WHEN message_class IS NULL THEN 'damaged' WHEN submit_filetime IS NULL THEN 'partial' ELSE 'complete' END AS completeness,
     CASE WHEN coalesce(removed, false) THEN 'failed' WHEN coalesce(message_class, '') = '' OR NOT coalesce(supported, false)
          OR (lower(message_class) = 'ipm.ole.class.{00061055-0000-0000-c000-000000000046}' AND coalesce(len(embedded_path), 0) = 0) THEN 'unsupported'
          WHEN seq % 3 = 0 THEN 'written' ELSE 'spooled' END AS status,
-    row_number() OVER (PARTITION BY store_id, provenance, message_id, recovery_index ORDER BY seq) - 1 AS occurrence
+    row_number() OVER (PARTITION BY store_id, provenance, nullif(message_id, 0), recovery_index ORDER BY seq) - 1 AS occurrence
   FROM m),
 keyed AS (SELECT *, provenance || ':' || coalesce(source_node_id::VARCHAR, '-') || ':' || coalesce(recovery_index::VARCHAR, '-') || ':' || occurrence AS item_key FROM k),
 par AS (
-  SELECT c.store_id, c.seq, arg_max(p.item_key, p.seq) AS parent_item_key FROM keyed c
-  JOIN keyed p ON p.store_id = c.store_id AND p.provenance = c.provenance AND p.source_node_id = c.parent_message_id AND p.seq < c.seq GROUP BY ALL),
+  SELECT c.store_id, c.seq, p.item_key AS parent_item_key
+  FROM (SELECT *, coalesce(recovery_index, -1) AS ri, embedded_path[1:len(embedded_path) - 1] AS way FROM keyed
+        WHERE parent_message_id IS NOT NULL AND len(embedded_path) > 0 AND embedded_path[-1] IS NOT DISTINCT FROM parent_attachment_index) c
+  ASOF JOIN (SELECT *, coalesce(recovery_index, -1) AS ri, coalesce(embedded_path, []) AS way FROM keyed WHERE status <> 'pending') p
+    ON p.store_id = c.store_id AND p.provenance = c.provenance AND p.ri = c.ri AND p.way = c.way AND p.seq < c.seq),
 cand AS (SELECT keyed.*, par.parent_item_key FROM keyed LEFT JOIN par USING (store_id, seq))
 """
 
@@ -63,7 +66,12 @@ def unnumbered_events(spark: SparkSession, sf: str, cands: DataFrame) -> DataFra
         "store_id", "seq", "message_id", F.when(F.col("data_size").isNull(), "attachment_missing").when(F.col("attachment_type").isin(2, 3, 4, 7), "attachment_reference").otherwise("attachment_data").alias("kind"),
         F.to_json(F.struct("filename")).alias("metadata_json"), F.when(F.col("data_size").isNotNull(), F.sha2("filename", 256)).alias("blob_sha256"), F.when(F.col("filename").isNotNull(), F.col("data_size")).alias("byte_len"),
     )
-    return r.unionByName(a).join(owner, ["store_id", "message_id"])
+    # every seventh rejection is missing, and some items that are not rejected have one
+    rejected = cands.where("(status = 'unsupported' and seq % 7 <> 0) or (status = 'spooled' and seq % 103 = 0)").select(
+        "store_id", "seq", F.col("source_node_id").alias("message_id"), F.lit("output_unrepresentable").alias("kind"), F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lower("message_class").alias("category"))).alias("metadata_json"),
+        F.lit(None).cast("string").alias("blob_sha256"), F.lit(None).cast("bigint").alias("byte_len"), "item_key",
+    )
+    return r.unionByName(a).join(owner, ["store_id", "message_id"]).unionByName(rejected)
 
 
 def events(spark: SparkSession, sf: str, cands: DataFrame) -> DataFrame:
@@ -82,7 +90,9 @@ raw AS (
   SELECT DISTINCT store_id, seq, message_id, 'recipient' AS kind, CAST(NULL AS VARCHAR) AS blob_sha256, CAST(NULL AS BIGINT) AS byte_len FROM recipients
   UNION ALL SELECT DISTINCT store_id, seq, message_id, CASE WHEN data_size IS NULL THEN 'attachment_missing' WHEN attachment_type IN (2, 3, 4, 7) THEN 'attachment_reference' ELSE 'attachment_data' END,
     CASE WHEN data_size IS NOT NULL THEN sha256(filename) END, CASE WHEN filename IS NOT NULL THEN data_size END FROM attachments),
-ev AS (SELECT raw.*, item_key, row_number() OVER (PARTITION BY store_id, item_key ORDER BY seq) AS sequence FROM raw JOIN owner USING (store_id, message_id)),
+owned AS (SELECT store_id, seq, kind, blob_sha256, byte_len, item_key FROM raw JOIN owner USING (store_id, message_id)
+  UNION ALL SELECT store_id, seq, 'output_unrepresentable', NULL, NULL, item_key FROM cand WHERE (status = 'unsupported' AND seq % 7 <> 0) OR (status = 'spooled' AND seq % 103 = 0)),
+ev AS (SELECT *, row_number() OVER (PARTITION BY store_id, item_key ORDER BY seq) AS sequence FROM owned),
 blob AS (SELECT store_id, blob_sha256 AS sha256, min(byte_len) AS byte_len, count(*) AS refs, min(byte_len) <> max(byte_len) AS conflicting FROM ev WHERE blob_sha256 IS NOT NULL GROUP BY 1, 2),
 packed AS (SELECT *, coalesce(sum(byte_len) OVER (PARTITION BY store_id ORDER BY sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pack_offset FROM blob)
 """
@@ -90,36 +100,57 @@ packed AS (SELECT *, coalesce(sum(byte_len) OVER (PARTITION BY store_id ORDER BY
 
 
 def tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """The ledger tables. Every fourth top-level written item forms a part of its own; one part in seven is marked oversize."""
-    c = candidates(spark, sf)
-    items = c.where("status = 'written' and seq % 5 <> 0").select("store_id", (F.floor(F.col("seq") / 50) + 1).cast("int").alias("part_index"), "item_key")
-    parts = c.where("status = 'written'").select("store_id", (F.floor(F.col("seq") / 50) + 1).cast("int").alias("part_index")).distinct().withColumn("oversize", F.when(F.col("part_index") % 7 == 0, 1).otherwise(0))
-    return {"candidates": c, "candidate_events": events(spark, sf, c), "blobs": blobs(spark, sf, c), "part_items": items, "parts": parts}
-
-
+    """The ledger tables, with rows that break each of the integrity rules: pending items, events with half a payload or of no item,
+    blobs that overlap, that nothing refers to or that are no blobs, items twice in a part, in none or in one without being written."""
+    c = checkpointed(candidates(spark, sf))
+    part = (F.floor(F.col("seq") / 50) + 1).cast("int").alias("part_index")
+    stores = c.select("store_id").distinct()
+    item = lambda where: c.where(where).select("store_id", part, "item_key")
+    items = item("status = 'written' and seq % 5 <> 0").unionByName(item("status = 'written' and seq % 83 = 0")).unionByName(item("status = 'spooled' and seq % 89 = 0")).unionByName(stores.select("store_id", F.lit(1).alias("part_index"), F.lit("missing:item").alias("item_key")))
+    parts = c.where("status = 'written'").select("store_id", part).distinct().withColumn("oversize", F.when(F.col("part_index") % 7 == 0, 1).otherwise(0))
+    e = events(spark, sf, c).withColumn("byte_len", F.when(F.col("seq") % 101 != 5, F.col("byte_len"))).select("store_id", "item_key", "sequence", "kind", "blob_sha256", "byte_len")
+    e = e.unionByName(stores.select("store_id", F.lit("missing:event").alias("item_key"), F.lit(1).alias("sequence"), F.lit("no_such_kind").alias("kind"), F.lit(None).cast("string").alias("blob_sha256"), F.lit(None).cast("bigint").alias("byte_len")))
+    b = blobs(spark, sf, c).select("store_id", "sha256", "byte_len", F.when(F.col("sha256").startswith("8"), F.col("pack_offset") - 1).otherwise(F.col("pack_offset")).alias("pack_offset"), "storage_class")
+    b = b.unionByName(stores.select("store_id", F.lit("no blob").alias("sha256"), F.lit(-5).cast("bigint").alias("byte_len"), F.lit(0).cast("bigint").alias("pack_offset"), F.lit("pack").alias("storage_class")))
+    pending = c.withColumn("status", F.when(F.col("seq") % 97 == 0, "pending").otherwise(F.col("status")))
+    return {"candidates": pending, "candidate_events": e, "blobs": b, "part_items": items, "parts": parts}
+
+
+#: The tables above; the names say what they are made of.
 _TABLES = (
     _EVENTS
-    + """, item AS (SELECT store_id, CAST(floor(seq / 50) + 1 AS INT) AS part_index, item_key FROM cand WHERE status = 'written' AND seq % 5 <> 0),
-part_ AS (SELECT DISTINCT store_id, CAST(floor(seq / 50) + 1 AS INT) AS part_index, CASE WHEN (floor(seq / 50) + 1) % 7 = 0 THEN 1 ELSE 0 END AS oversize FROM cand WHERE status = 'written')
+    + """, stores AS (SELECT DISTINCT store_id FROM cand),
+part_of AS (SELECT *, CAST(floor(seq / 50) + 1 AS INT) AS part_index FROM cand),
+item AS (SELECT store_id, part_index, item_key FROM part_of WHERE status = 'written' AND seq % 5 <> 0
+  UNION ALL SELECT store_id, part_index, item_key FROM part_of WHERE (status = 'written' AND seq % 83 = 0) OR (status = 'spooled' AND seq % 89 = 0)
+  UNION ALL SELECT store_id, 1, 'missing:item' FROM stores),
+part_ AS (SELECT DISTINCT store_id, part_index, CASE WHEN part_index % 7 = 0 THEN 1 ELSE 0 END AS oversize FROM part_of WHERE status = 'written'),
+tc AS (SELECT * REPLACE (CASE WHEN seq % 97 = 0 THEN 'pending' ELSE status END AS status) FROM cand),
+te AS (SELECT store_id, item_key, sequence, kind, blob_sha256, CASE WHEN seq % 101 <> 5 THEN byte_len END AS byte_len FROM ev
+  UNION ALL SELECT store_id, 'missing:event', 1, 'no_such_kind', NULL, NULL FROM stores),
+tb AS (SELECT store_id, sha256, byte_len, CASE WHEN starts_with(sha256, '8') THEN pack_offset - 1 ELSE pack_offset END AS pack_offset FROM packed
+  UNION ALL SELECT store_id, 'no blob', -5, 0 FROM stores)
 """
 )
 
 _RULES_SQL = {
-    "I01_pending": "SELECT store_id, item_key AS offender FROM cand WHERE status = 'pending'",
-    "I02_blob_parity": "SELECT store_id, item_key || '#' || sequence AS offender FROM ev WHERE (blob_sha256 IS NULL) <> (byte_len IS NULL)",
-    "I03_event_length": "SELECT e.store_id, item_key || '#' || sequence AS offender FROM ev e LEFT JOIN packed b ON b.store_id = e.store_id AND b.sha256 = e.blob_sha256 WHERE e.blob_sha256 IS NOT NULL AND e.byte_len IS DISTINCT FROM b.byte_len",
-    "I04_unreferenced_blob": "SELECT store_id, sha256 AS offender FROM packed b WHERE NOT EXISTS (SELECT 1 FROM ev e WHERE e.store_id = b.store_id AND e.blob_sha256 = b.sha256)",
-    "I05_written_without_part": "SELECT store_id, item_key AS offender FROM cand c WHERE status = 'written' AND NOT EXISTS (SELECT 1 FROM item i WHERE i.store_id = c.store_id AND i.item_key = c.item_key)",
-    "I06_part_item_not_written": "SELECT i.store_id, i.item_key AS offender FROM item i WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.status = 'written' AND i.store_id = c.store_id AND i.item_key = c.item_key)",
+    "I01_pending": "SELECT store_id, item_key AS offender FROM tc WHERE status = 'pending'",
+    "I02_blob_parity": "SELECT store_id, item_key || '#' || sequence AS offender FROM te WHERE (blob_sha256 IS NULL) <> (byte_len IS NULL)",
+    "I03_event_length": "SELECT e.store_id, item_key || '#' || sequence AS offender FROM te e LEFT JOIN tb b ON b.store_id = e.store_id AND b.sha256 = e.blob_sha256 WHERE e.blob_sha256 IS NOT NULL AND e.byte_len IS DISTINCT FROM b.byte_len",
+    "I04_unreferenced_blob": "SELECT store_id, sha256 AS offender FROM tb b WHERE NOT EXISTS (SELECT 1 FROM te e WHERE e.store_id = b.store_id AND e.blob_sha256 = b.sha256)",
+    "I05_written_without_part": "SELECT store_id, item_key AS offender FROM tc c WHERE status = 'written' AND NOT EXISTS (SELECT 1 FROM item i WHERE i.store_id = c.store_id AND i.item_key = c.item_key)",
+    "I06_part_item_not_written": "SELECT i.store_id, i.item_key AS offender FROM item i WHERE NOT EXISTS (SELECT 1 FROM tc c WHERE c.status = 'written' AND i.store_id = c.store_id AND i.item_key = c.item_key)",
     "I07_empty_part": "SELECT store_id, CAST(part_index AS VARCHAR) AS offender FROM part_ p WHERE NOT EXISTS (SELECT 1 FROM item i WHERE i.store_id = p.store_id AND i.part_index = p.part_index)",
-    "I08_oversize_part": "SELECT store_id, CAST(part_index AS VARCHAR) AS offender FROM part_ p WHERE oversize = 1 AND 1 <> (SELECT count(*) FROM item i JOIN cand c USING (store_id, item_key) WHERE i.store_id = p.store_id AND i.part_index = p.part_index AND c.parent_item_key IS NULL)",
-    "I09_pack_overlap": "SELECT store_id, sha256 AS offender FROM (SELECT *, max(pack_offset + byte_len) OVER (PARTITION BY store_id ORDER BY pack_offset, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM packed WHERE byte_len > 0) WHERE pack_offset < p",
-    "I10_blob_identity": "SELECT store_id, sha256 AS offender FROM packed GROUP BY ALL HAVING count(*) > 1 OR min(byte_len) < 0 OR NOT regexp_matches(sha256, '^[0-9a-f]{64}$')",
-    "I12_rejections": "SELECT store_id, item_key AS offender FROM cand WHERE status = 'unsupported'",
-    "I13_foreign_keys": "SELECT DISTINCT store_id, parent_item_key AS offender FROM cand c WHERE parent_item_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cand p WHERE p.store_id = c.store_id AND p.item_key = c.parent_item_key)",
-    "I16_ownership": """SELECT DISTINCT store_id, item_key AS offender FROM (SELECT *, count(*) OVER (PARTITION BY store_id, parent_item_key, parent_attachment_index) AS n FROM cand)
+    "I08_oversize_part": "SELECT store_id, CAST(part_index AS VARCHAR) AS offender FROM part_ p WHERE oversize = 1 AND 1 <> (SELECT count(*) FROM item i JOIN tc c USING (store_id, item_key) WHERE i.store_id = p.store_id AND i.part_index = p.part_index AND c.parent_item_key IS NULL)",
+    "I09_pack_overlap": "SELECT store_id, sha256 AS offender FROM (SELECT *, max(pack_offset + byte_len) OVER (PARTITION BY store_id ORDER BY pack_offset, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM tb WHERE byte_len > 0) WHERE pack_offset < p",
+    "I10_blob_identity": "SELECT store_id, sha256 AS offender FROM tb GROUP BY ALL HAVING count(*) > 1 OR coalesce(min(byte_len), -1) < 0 OR NOT regexp_matches(sha256, '^[0-9a-f]{64}$')",
+    "I12_rejections": """SELECT store_id, item_key AS offender FROM tc c WHERE (SELECT count(*) FROM te e WHERE e.store_id = c.store_id AND e.item_key = c.item_key AND e.kind = 'output_unrepresentable') <> CASE WHEN status = 'unsupported' THEN 1 ELSE 0 END""",
+    "I13_foreign_keys": """SELECT DISTINCT store_id, offender FROM (SELECT store_id, item_key AS offender FROM te UNION ALL SELECT store_id, item_key FROM item UNION ALL SELECT store_id, parent_item_key FROM tc WHERE parent_item_key IS NOT NULL) k
+        WHERE NOT EXISTS (SELECT 1 FROM tc p WHERE p.store_id = k.store_id AND p.item_key = k.offender)""",
+    "I16_ownership": """SELECT DISTINCT store_id, item_key AS offender FROM (SELECT *, count(*) OVER (PARTITION BY store_id, parent_item_key, parent_attachment_index) AS n FROM tc)
         WHERE (parent_item_key IS NULL) <> (parent_attachment_index IS NULL) OR (parent_item_key IS NULL) <> (embedded_path_json = '[]') OR (parent_item_key IS NOT NULL AND parent_attachment_index IS NOT NULL AND n > 1)""",
     "I17_duplicate_items": "SELECT store_id, item_key AS offender FROM item GROUP BY ALL HAVING count(*) > 1",
+    "X_unknown_event_kinds": "SELECT store_id, item_key || '#' || sequence AS offender FROM te WHERE kind NOT IN ('recipient', 'attachment_data', 'attachment_missing', 'attachment_reference', 'output_unrepresentable')",
 }
 
 
@@ -188,7 +219,7 @@ QUERIES = {
     "W03_W04_event_sequence": _events(lambda c, e: e.select("store_id", "item_key", "sequence", "kind")),
     "J01_events_with_candidates": _events(_event_join, number=False),
     "J02_J03_events_with_blobs": lambda spark, sf: (lambda t: t["candidate_events"].join(t["blobs"].select("store_id", F.col("sha256").alias("blob_sha256"), F.col("byte_len").alias("stored"), "storage_class"), ["store_id", "blob_sha256"], "left").groupBy("kind", "storage_class").agg(F.count("*").alias("events"), F.count_if(F.col("byte_len") == F.col("stored")).alias("equal_length")))(tables(spark, sf)),
-    "J04_candidates_with_missing_events": _events(lambda c, e: c.join(e.where("kind = 'attachment_missing'").select("store_id", "item_key", "sequence"), ["store_id", "item_key"], "left").groupBy("status").agg(F.count("*").alias("rows"), F.count("sequence").alias("missing"))),
+    "J04_candidates_with_rejections": _events(lambda c, e: c.join(e.where("kind = 'output_unrepresentable'").select("store_id", "item_key", "sequence"), ["store_id", "item_key"], "left").groupBy("status").agg(F.count("*").alias("rows"), F.count("sequence").alias("rejections"))),
     "J06_parts_with_items": lambda spark, sf: (lambda t: t["parts"].join(t["part_items"], ["store_id", "part_index"], "left_semi").select("store_id", "part_index"))(tables(spark, sf)),
     "J09_parent_child": _on(lambda c: c.join(c.select("store_id", F.col("item_key").alias("parent_item_key"), F.col("status").alias("parent_status")), ["store_id", "parent_item_key"]).groupBy("parent_status", "status").agg(F.count("*").alias("n"))),
     "J10_A03_part_item_counts": lambda spark, sf: (lambda t: t["parts"].join(t["part_items"], ["store_id", "part_index"], "left").groupBy("store_id", "part_index", "oversize").agg(F.count("item_key").alias("items")))(tables(spark, sf)),
@@ -198,7 +229,7 @@ QUERIES = {
     "K06_storage_class": lambda spark, sf: _blobs(spark, sf).groupBy("storage_class").agg(F.count("*").alias("blobs"), F.sum("byte_len").alias("bytes")),
     "A02_A06_blob_totals": lambda spark, sf: L.blob_totals(_blobs(spark, sf)),
     "A05_next_sequence": _events(lambda c, e: e.groupBy("store_id", "item_key").agg((F.count("*") + 1).alias("next_sequence")), number=False),
-    "A07_rejections_by_class": _on_rows(lambda c: c.where("status = 'unsupported'").groupBy(F.coalesce(F.lower("message_class"), F.lit("-")).alias("category")).agg(F.count("*").alias("n"))),
+    "A07_rejections_by_category": _events(lambda c, e: L.rejection_counts(c, e), number=False),
     "A12_capped_issues": _on_rows(lambda c: L.capped(L.first_wins(c)[1].select("store_id", "seq"), ["store_id", "seq"])[1]),
     "L01_keyset_page": _on(lambda c: L.keyset_page(c.select("store_id", "seq", "item_key"), (1, 1000))),
     "L03_latest_candidate": _on(lambda c: c.where("source_node_id is not null").groupBy("store_id", "source_node_id").agg(F.max_by("item_key", "seq").alias("item_key"))),
@@ -209,7 +240,7 @@ QUERIES = {
     "G01_packing": packing,
     "G01_A18_part_estimates": packing_parts,
     **{n: _rule(n) for n in _RULES_SQL},
-    "I_all_rules": lambda spark, sf: I.report({k: checkpointed(t) for k, t in tables(spark, sf).items()}).where("rule not like 'X%'"),
+    "I_all_rules": lambda spark, sf: I.report({k: checkpointed(t) for k, t in tables(spark, sf).items()}),
 }
 
 _TREES = """, kept AS (SELECT store_id, item_key, parent_item_key FROM cand WHERE status IN ('spooled', 'written', 'unsupported')),
@@ -245,8 +276,8 @@ SQL = {
     "W02_first_wins_issues": _CANDIDATES + _FIRST + "SELECT store_id, seq, source_node_id FROM ranked WHERE NOT free AND n > 1",
     "W03_W04_event_sequence": _EVENTS + "SELECT store_id, item_key, sequence, kind FROM ev",
     "J01_events_with_candidates": _EVENTS + "SELECT status, kind, count(*) AS events, coalesce(sum(byte_len), 0) AS bytes FROM ev JOIN cand USING (store_id, item_key) GROUP BY 1, 2",
-    "J02_J03_events_with_blobs": _EVENTS + "SELECT kind, CASE WHEN b.byte_len <= 65536 THEN 'inline' WHEN b.sha256 IS NOT NULL THEN 'pack' END AS storage_class, count(*) AS events, count(*) FILTER (ev.byte_len = b.byte_len) AS equal_length FROM ev LEFT JOIN packed b ON b.store_id = ev.store_id AND b.sha256 = ev.blob_sha256 GROUP BY 1, 2",
-    "J04_candidates_with_missing_events": _EVENTS + "SELECT status, count(*) AS rows, count(sequence) AS missing FROM cand LEFT JOIN (SELECT store_id, item_key, sequence FROM ev WHERE kind = 'attachment_missing') USING (store_id, item_key) GROUP BY 1",
+    "J02_J03_events_with_blobs": _TABLES + "SELECT kind, CASE WHEN b.byte_len <= 65536 THEN 'inline' WHEN b.sha256 IS NOT NULL THEN 'pack' END AS storage_class, count(*) AS events, count(*) FILTER (te.byte_len = b.byte_len) AS equal_length FROM te LEFT JOIN tb b ON b.store_id = te.store_id AND b.sha256 = te.blob_sha256 GROUP BY 1, 2",
+    "J04_candidates_with_rejections": _EVENTS + "SELECT status, count(*) AS rows, count(sequence) AS rejections FROM cand LEFT JOIN (SELECT store_id, item_key, sequence FROM ev WHERE kind = 'output_unrepresentable') USING (store_id, item_key) GROUP BY 1",
     "J06_parts_with_items": _TABLES + "SELECT store_id, part_index FROM part_ SEMI JOIN item USING (store_id, part_index)",
     "J09_parent_child": _CANDIDATES + "SELECT p.status AS parent_status, c.status, count(*) AS n FROM cand c JOIN cand p ON p.store_id = c.store_id AND p.item_key = c.parent_item_key GROUP BY 1, 2",
     "J10_A03_part_item_counts": _TABLES + "SELECT store_id, part_index, oversize, count(item_key) AS items FROM part_ LEFT JOIN item USING (store_id, part_index) GROUP BY 1, 2, 3",
@@ -256,7 +287,8 @@ SQL = {
     "K06_storage_class": _EVENTS + "SELECT CASE WHEN byte_len <= 65536 THEN 'inline' ELSE 'pack' END AS storage_class, count(*) AS blobs, sum(byte_len) AS bytes FROM packed GROUP BY 1",
     "A02_A06_blob_totals": _EVENTS + "SELECT count(*) AS blobs, coalesce(sum(byte_len), 0) AS bytes, coalesce(max(pack_offset + byte_len), 0) AS pack_end FROM packed",
     "A05_next_sequence": _EVENTS + "SELECT store_id, item_key, max(sequence) + 1 AS next_sequence FROM ev GROUP BY 1, 2",
-    "A07_rejections_by_class": _CANDIDATES + "SELECT coalesce(lower(message_class), '-') AS category, count(*) AS n FROM cand WHERE status = 'unsupported' GROUP BY 1",
+    "A07_rejections_by_category": _EVENTS + """SELECT CASE WHEN status <> 'unsupported' THEN 'not rejected' WHEN n IS NULL THEN 'no event' WHEN n > 1 THEN 'several events' ELSE 'counted' END AS rule, CASE WHEN status = 'unsupported' AND n = 1 THEN coalesce(lower(message_class), '-') ELSE '-' END AS category, count(*) AS n
+        FROM cand LEFT JOIN (SELECT store_id, item_key, count(*) AS n FROM ev WHERE kind = 'output_unrepresentable' GROUP BY 1, 2) USING (store_id, item_key) WHERE status = 'unsupported' OR n IS NOT NULL GROUP BY 1, 2""",
     "A12_capped_issues": _CANDIDATES + _FIRST + "SELECT greatest(count(*) - 10000, 0) AS dropped FROM ranked WHERE NOT free AND n > 1",
     "L01_keyset_page": _CANDIDATES + "SELECT store_id, seq, item_key FROM cand WHERE store_id > 1 OR (store_id = 1 AND seq > 1000) ORDER BY store_id, seq LIMIT 1024",
     "L03_latest_candidate": _CANDIDATES + "SELECT store_id, source_node_id, arg_max(item_key, seq) AS item_key FROM cand WHERE source_node_id IS NOT NULL GROUP BY 1, 2",
