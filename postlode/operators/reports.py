@@ -43,12 +43,23 @@ def body_bytes(properties: DataFrame) -> DataFrame:
     return properties.agg(F.coalesce(F.sum(F.when(body, F.col("byte_len"))), F.lit(0)).alias("body_bytes"), F.coalesce(F.max("byte_len"), F.lit(0)).alias("peak_value_bytes"))
 
 
-def split_report(summary: DataFrame, parts: DataFrame) -> DataFrame:
-    """One row: committed items, written, unsupported, unfinished (never below 0), parts, oversize parts, bytes, and whether it is clean."""
+def split_report(summary: DataFrame, parts: DataFrame, issues: DataFrame | None = None, omitted: DataFrame | None = None, source_unchanged: bool = True, interrupted: bool = False, terminal_failure: bool = False) -> DataFrame:
+    """One row: committed items, written, unsupported, unfinished (never below 0), parts, oversize parts, bytes, issues listed and dropped,
+    what was omitted, and whether the data is clean, which it is if nothing of all that nor of the run's own state speaks against it.
+
+    issues: one row with issues and issues_dropped; omitted: (kind, n) with kinds folders, properties and attachments. Absent ones are 0.
+    """
+    zero = F.lit(0).cast("bigint")
     p = parts.agg(F.count("*").alias("parts"), F.coalesce(F.sum("oversize"), F.lit(0)).alias("oversize_parts"), F.coalesce(F.sum("estimate_bytes"), F.lit(0)).alias("part_bytes"))
     s = summary.select(F.col("total").alias("committed"), "written", "unsupported", "recovered_items", (F.col("total") - F.col("recovered_items")).alias("normal_items"), F.greatest(F.col("total") - F.col("written") - F.col("unsupported"), F.lit(0)).alias("unfinished"), "partial", "damaged")
-    clean = (F.col("unfinished") == 0) & (F.col("unsupported") == 0) & (F.col("partial") == 0) & (F.col("damaged") == 0)
-    return side_by_side([s, p]).withColumn("clean_data", clean)
+    i = issues.select("issues", "issues_dropped") if issues is not None else s.select(zero.alias("issues"), zero.alias("issues_dropped"))
+    kinds = ("folders", "properties", "attachments")
+    o = omitted.agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), zero).alias(f"omitted_{k}") for k in kinds)) if omitted is not None else s.select(*(zero.alias(f"omitted_{k}") for k in kinds))
+    none = ["unsupported", "partial", "issues", "issues_dropped", *(f"omitted_{k}" for k in kinds), "unfinished"]
+    clean = F.lit(source_unchanged and not interrupted and not terminal_failure)
+    for c in none:
+        clean = clean & (F.col(c) == 0)
+    return side_by_side([s, p, i, o]).withColumn("clean_data", clean)
 
 
 def as_json(row: DataFrame, kind: str, version: int = 1) -> DataFrame:
@@ -79,42 +90,7 @@ def recovery_log(report: dict, part_rows: Iterable[dict], detail: int = 10_000)
     return "\n".join([*lines, *([f"  and {more} more parts"] if more else [])]) + "\n"
 
 
-# --- files of parts: staged, published once, reconciled after a crash -----------------------------------------------------
-
-
-def publish_parts(packed: DataFrame, parts: DataFrame, folder: str) -> list[str]:
-    """Writes items by part below a staging folder, then gives each part its manifest and final name; a part that is there already
-    is an error. Returns the published names. Items go through Spark's committer; only part rows reach the driver."""
-    root = Path(folder)
-    rows = parts.orderBy("part_index").collect()  # one row a part: the manifest itself
-    taken = [r["filename"] for r in rows if (root / r["filename"]).exists()]
-    if taken:
-        raise FileExistsError(f"already published: {taken[0]}")
-    staging = root / ".staging"
-    packed.repartition("part_index").write.mode("overwrite").partitionBy("part_index").parquet(str(staging / "items"))
-    (staging / "intents.json").write_text(json.dumps({r["filename"]: r.asDict() for r in rows}))
-    return reconcile(folder)
-
-
-def reconcile(folder: str) -> list[str]:
-    """Completes what publish_parts has begun: staged parts with an intent get their final name, a part that is published already keeps
-    it, staged data without an intent is dropped. Running it again changes nothing."""
-    root = Path(folder)
-    staging = root / ".staging"
-    intents = json.loads((staging / "intents.json").read_text()) if (staging / "intents.json").exists() else {}
-    done = []
-    for name, intent in sorted(intents.items()):
-        source, target = staging / "items" / f"part_index={intent['part_index']}", root / name
-        if source.exists() and not target.exists():
-            (source / "_manifest.json").write_text(json.dumps(intent, sort_keys=True))
-            os.rename(source, target)
-        if target.exists():
-            done.append(name)
-    if staging.exists():
-        import shutil
-
-        shutil.rmtree(staging)
-    return done
+# --- snapshots -----------------------------------------------------------------------------------------------------------
 
 
 def snapshot(report: dict, path: str, most: int = 4 << 20) -> str:

@@ -224,7 +224,6 @@ QUERIES = {
     "J09_parent_child": _on(lambda c: c.join(c.select("store_id", F.col("item_key").alias("parent_item_key"), F.col("status").alias("parent_status")), ["store_id", "parent_item_key"]).groupBy("parent_status", "status").agg(F.count("*").alias("n"))),
     "J10_A03_part_item_counts": lambda spark, sf: (lambda t: t["parts"].join(t["part_items"], ["store_id", "part_index"], "left").groupBy("store_id", "part_index", "oversize").agg(F.count("item_key").alias("items")))(tables(spark, sf)),
     "J13_slot_conflicts": _on(lambda c: C.slot_conflicts(c)),
-    "J16_part_zip": lambda spark, sf: (lambda t: t["parts"].select("store_id", "part_index").join(t["part_items"].groupBy("store_id", "part_index").agg(F.count("*").alias("n")), ["store_id", "part_index"], "full").where("n is null").select("store_id", "part_index"))(tables(spark, sf)),
     "K05_blob_dedup": lambda spark, sf: _blobs(spark, sf).select("store_id", "sha256", "byte_len", "references", "conflicting"),
     "K06_storage_class": lambda spark, sf: _blobs(spark, sf).groupBy("storage_class").agg(F.count("*").alias("blobs"), F.sum("byte_len").alias("bytes")),
     "A02_A06_blob_totals": lambda spark, sf: L.blob_totals(_blobs(spark, sf)),
@@ -282,7 +281,6 @@ SQL = {
     "J09_parent_child": _CANDIDATES + "SELECT p.status AS parent_status, c.status, count(*) AS n FROM cand c JOIN cand p ON p.store_id = c.store_id AND p.item_key = c.parent_item_key GROUP BY 1, 2",
     "J10_A03_part_item_counts": _TABLES + "SELECT store_id, part_index, oversize, count(item_key) AS items FROM part_ LEFT JOIN item USING (store_id, part_index) GROUP BY 1, 2, 3",
     "J13_slot_conflicts": _CANDIDATES + "SELECT store_id, parent_item_key, parent_attachment_index, count(*) AS children FROM cand WHERE parent_item_key IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1",
-    "J16_part_zip": _TABLES + "SELECT store_id, part_index FROM part_ ANTI JOIN item USING (store_id, part_index)",
     "K05_blob_dedup": _EVENTS + 'SELECT store_id, sha256, byte_len, refs AS "references", conflicting FROM packed',
     "K06_storage_class": _EVENTS + "SELECT CASE WHEN byte_len <= 65536 THEN 'inline' ELSE 'pack' END AS storage_class, count(*) AS blobs, sum(byte_len) AS bytes FROM packed GROUP BY 1",
     "A02_A06_blob_totals": _EVENTS + "SELECT count(*) AS blobs, coalesce(sum(byte_len), 0) AS bytes, coalesce(max(pack_offset + byte_len), 0) AS pack_end FROM packed",

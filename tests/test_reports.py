@@ -46,30 +46,18 @@ def items(spark):
     return P.with_ranks(spark.createDataFrame([(1, k, "normal", k, None, 0, "store_root", ["a", "b"], 50) for k in range(6)], ITEMS))
 
 
-def test_publishing_and_reconciling(spark, tmp_path):
-    est = P.LinearEstimate(0, 0, 0)
-    packed = P.pack(items(spark), 100, estimate=est)
-    parts = P.parts_table(packed, est)
-    out = str(tmp_path / "out")
-    os.makedirs(out)
-    assert R.publish_parts(packed, parts, out) == ["part-0001", "part-0002", "part-0003"]
-    assert spark.read.parquet(out + "/part-0002").count() == 2 and not os.path.exists(out + "/.staging")
-    with pytest.raises(FileExistsError):
-        R.publish_parts(packed, parts, out)
-    # a crash between two renames: the rest is completed, and completing again changes nothing
-    os.makedirs(out + "/.staging/items")
-    os.rename(out + "/part-0003", out + "/.staging/items/part_index=3")
-    os.remove(out + "/.staging/items/part_index=3/_manifest.json")
-    (tmp_path / "out/.staging/intents.json").write_text('{"part-0002": {"part_index": 2}, "part-0003": {"part_index": 3}}')
-    assert R.reconcile(out) == ["part-0002", "part-0003"] and R.reconcile(out) == [] and spark.read.parquet(out + "/part-0003").count() == 2
-
-
 def test_reports(spark):
     c = spark.createDataFrame([("written", "complete", "normal"), ("unsupported", "damaged", "orphan"), ("spooled", "complete", "normal")], "status string, completeness string, provenance string")
     summary = L.job_summary(c)
     parts = P.parts_table(P.pack(items(spark), 2 << 20))
     r = R.split_report(summary, parts).first()
     assert (r.committed, r.unfinished, r.normal_items, r.parts, r.clean_data) == (3, 1, 2, 1, False)
+    done = L.job_summary(c.limit(1))
+    one = lambda **k: R.split_report(done, parts, **k).first()
+    assert one().clean_data and not any(one(**{k: v}).clean_data for k, v in (("source_unchanged", False), ("interrupted", True), ("terminal_failure", True)))
+    assert not one(issues=spark.createDataFrame([(0, 2)], "issues bigint, issues_dropped bigint")).clean_data
+    lost = one(omitted=spark.createDataFrame([("properties", 3), ("properties", 4), ("folders", 0)], "kind string, n bigint"))
+    assert (lost.omitted_properties, lost.omitted_folders, lost.omitted_attachments, lost.clean_data) == (7, 0, 0, False)
     j = R.as_json(summary, "recover").first()
     assert j.json.startswith('{"kind":"recover","schema_version":1,"total":3')
     log = R.recovery_log({"committed": 3000}, [{"filename": f"part-{k:04}", "items": 1, "estimate_bytes": 5, "oversize": k == 1} for k in range(5)], detail=2)
