@@ -249,7 +249,7 @@ def display_names(messages: DataFrame) -> DataFrame:
     (no subject) (generated). messages: display_name and subject among its columns."""
     own, subject = F.nullif("display_name", F.lit("")), F.nullif("subject", F.lit(""))
     how = F.when(own.isNotNull(), "kept").when(subject.isNotNull(), "derived").otherwise("generated")
-    return messages.withColumn("display_name", F.coalesce(own, subject, F.lit("(no subject)"))).withColumn("how", how)
+    return messages.withColumns({"display_name": F.coalesce(own, subject, F.lit("(no subject)")), "how": how})
 
 
 def propagated_rejections(candidates: DataFrame) -> DataFrame:

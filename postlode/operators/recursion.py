@@ -1,13 +1,17 @@
 """Recursive queries as frontier loops: descendants of seeds over child-to-parent rows.
 
-Spark's recursive CTE has a row limit and no distinct union; here each step joins only the frontier, drops what is already known,
-so that cycles end, and is cut off by a checkpoint. Steps are as many as the deepest chain below a seed.
+Spark's recursive CTE has a row limit and no distinct union; here each step joins only the frontier with the edges, which are shuffled
+once and kept, and is cut off by a checkpoint. Steps are as many as the deepest chain below a seed.
+
+As each node has one parent, a walk down from a seed meets a node again only if it comes back to the seed itself; so that is all that is
+looked for, and what was found before is never joined again.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from postlode.session import checkpointed
@@ -17,21 +21,25 @@ def descend(seeds: DataFrame, edges: DataFrame, keys: list[str], most: int = 100
     """(root, keys.., depth) of seeds (depth 0) and all nodes below them.
 
     seeds: keys, and root where given (else the last key). edges: keys of the child and parent, which is the last key of the
-    parent; the other keys (such as the store) are shared. A node below several seeds is listed for each. Each (root, node) comes
-    once, at its least depth. Null parents have no place in the result.
+    parent; the other keys (such as the store) are shared. Either each child has one parent or each parent one child (a walk upward);
+    repeated edges change nothing. A node below several seeds is listed for each, once, at its least depth. Null parents have no
+    place in the result. Walks of over most steps are an error (ValueError), never cut short.
     """
     node = keys[-1]
     frontier = checkpointed((seeds if "root" in seeds.columns else seeds.withColumn("root", F.col(node))).select("root", *keys).distinct().withColumn("depth", F.lit(0)))
-    links = edges.where("parent is not null").select(*keys, "parent")
-    found = [frontier]
-    known = frontier.select("root", *keys)
-    for depth in range(1, most + 1):
-        step = frontier.select("root", *keys[:-1], F.col(node).alias("parent")).join(links, [*keys[:-1], "parent"]).select("root", *keys).distinct()
-        frontier = checkpointed(step.join(known, ["root", *keys], "left_anti").withColumn("depth", F.lit(depth)))
+    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    links = edges.where("parent is not null").select(*keys, "parent").distinct().repartition(parts, *keys[:-1], "parent").persist(StorageLevel.DISK_ONLY)
+    found, depth = [frontier], 0
+    while True:
+        depth += 1
+        step = frontier.select("root", *keys[:-1], F.col(node).alias("parent")).join(links, [*keys[:-1], "parent"]).where(~F.col(node).eqNullSafe(F.col("root"))).select("root", *keys)
+        frontier = checkpointed(step.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
+        if depth >= most:
+            raise ValueError(f"a chain of more than {most} steps")
         found.append(frontier)
-        known = known.unionByName(frontier.select("root", *keys))
+    links.unpersist()
     return reduce(DataFrame.unionByName, found).select("root", *keys, "depth")
 
 

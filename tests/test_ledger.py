@@ -81,13 +81,34 @@ def test_stranded_and_trees(spark):
 def test_keys_parents_and_first_wins(spark):
     rows = [(1, 1, 5, None, None, 0), (1, 2, 5, None, None, 0), (1, 3, 9, None, 5, 1), (1, 4, 5, None, None, 0), (1, 5, None, 3, None, 0), (1, 6, 0, None, None, 0), (1, 7, 0, None, None, 0)]
     df = spark.createDataFrame([(s, q, "normal", n, i, p, d) for s, q, n, i, p, d in rows], "store_id bigint, seq bigint, provenance string, source_node_id bigint, recovery_index bigint, parent_message_id bigint, embedded_depth int")
-    keyed = L.with_parent(L.with_occurrence(df).withColumn("item_key", L.item_key())).orderBy("seq").collect()
+    keyed = L.with_occurrence(df).withColumn("item_key", L.item_key()).orderBy("seq").collect()
     assert [r.item_key for r in keyed] == ["normal:5:-:0", "normal:5:-:1", "normal:9:-:0", "normal:5:-:2", "normal:-:3:0", "normal:0:-:0", "normal:0:-:1"]
-    assert keyed[2].parent_item_key == "normal:5:-:1"
     kept, issues = L.first_wins(df)
     assert sorted(r.seq for r in kept.collect()) == [1, 3, 5, 6, 7] and sorted(r.seq for r in issues.collect()) == [2, 4]
 
 
+def test_parents_by_provenance_index_and_path(spark):
+    rows = [  # seq, key, provenance, recovery_index, status, parent_message_id, parent_attachment_index, embedded_path
+        (1, "a", "normal", None, "spooled", None, None, []),
+        (2, "a0", "normal", None, "spooled", 5, 0, [0]),
+        (3, "a03", "normal", None, "spooled", 6, 3, [0, 3]),
+        (4, "b", "normal", None, "pending", None, None, []),
+        (5, "c1", "normal", None, "spooled", 9, 1, [1]),  # b is pending, so a, whatever id it names
+        (6, "r", "recovered", 7, "failed", None, None, None),
+        (7, "r2", "recovered", 7, "spooled", 5, 2, [2]),
+        (8, "s2", "recovered", 8, "spooled", 5, 2, [2]),  # nothing of that recovery index before it
+        (9, "x", "normal", None, "spooled", 5, 4, [5]),  # the path ends in another index
+        (10, "y", "normal", None, "spooled", 5, 4, []),  # no path
+        (11, "z", "normal", None, "spooled", None, 0, [0]),  # embedded nowhere
+        (70_000, "d0", "normal", None, "spooled", 5, 0, [0]),  # another block of seq: the last row without a path is y
+        (200_000, "e09", "normal", None, "spooled", 5, 9, [0, 9]),
+    ]
+    df = spark.createDataFrame([(1, *r) for r in rows], "store_id bigint, seq bigint, item_key string, provenance string, recovery_index bigint, status string, parent_message_id bigint, parent_attachment_index int, embedded_path array<int>")
+    got = {r.item_key: r.parent_item_key for r in L.with_parent(df).collect()}
+    assert len(got) == len(rows) and {k: v for k, v in got.items() if v} == {"a0": "a", "a03": "a0", "c1": "a", "r2": "r", "d0": "y", "e09": "d0"}
+    assert L.with_parent(df.limit(0)).count() == 0
+
+
 def test_blobs_and_offsets(spark):
     rows = [(1, H(str(k % 40)), k % 40) for k in range(200)] + [(1, H("1"), 999), (1, None, 3), (2, H("x"), None)]
     b = L.with_pack_offsets(L.stored_blobs(spark.createDataFrame(rows, "store_id bigint, sha256 string, byte_len bigint")))
@@ -131,12 +152,71 @@ def test_repairs(spark):
     assert C.partial_by_recipients(rr).first().partial
 
 
-def test_paths_and_prefix_join(spark):
-    f = spark.createDataFrame([(1, 290, "[]", "Root", "k0"), (1, S.IPM_SUBTREE, "[0]", "Top", "k1"), (1, 9, "[0,1]", "", "k2"), (1, 10, "[0,1,2]", "Deep", "k3"), (1, 11, "[3,1]", "Lost", "k4"), (1, 12, "nonsense", "X", "k5"), (1, 13, "[0,1,2]", "Twin", "k6")], "store_id bigint, source_id bigint, address_json string, name string, folder_key string").withColumn("address", C.parsed_address())
-    got = {tuple(r.address): (r.folder_path, r.unresolved) for r in C.paths_by_address(f).collect()}
-    assert got == {(0,): (["Top"], 0), (0, 1): (["Top", "Recovered Folder 9"], 0), (0, 1, 2): (["Top", "Recovered Folder 9", "Deep"], 0), (3, 1): (["Lost"], 1)}
-    s = {tuple(r.folder_path): (r.location, r.source_id, r.omitted) for r in C.folder_set(f.join(C.paths_by_address(f), ["store_id", "address"])).collect()}
-    assert s[("Top", "Recovered Folder 9", "Deep")] == ("ipm_subtree", 10, 1) and s[("Lost",)][0] == "store_root"
+FOLDERS = "store_id bigint, source_id bigint, address_json string, name string, folder_key string"
+
+
+def test_paths_by_address(spark):
+    deep = list(range(100, 170))
+    rows = [
+        (1, 290, "[]", "Root", "k0"), (1, S.IPM_SUBTREE, "[0]", "Top", "k1"), (1, 9, "[0,1]", "", "k2"), (1, 10, "[0, 1, 2]", "Deep", "k3"), (1, 13, "[0,1,2]", "Twin", "k6"),
+        (1, 11, "[3,1]", "Lost", "k4"), (1, 12, "nonsense", "X", "k5"), (1, 34, "[5]", "Views", "k7"), (1, 35, "[6]", "Odd", "k8"), (1, S.SEARCH_ROOT, "[8]", "Search", "k9"),
+        (1, 66, "[0,7]", "Bin", "m0"), (1, S.DELETED_ITEMS, "[0,4]", "Bin", "m1"), (1, S.DELETED_ITEMS, "[0,1,9]", "Not direct", "m2"), (1, S.DELETED_ITEMS, "[5,4]", "At root", "m3"),
+        (2, S.IPM_SUBTREE, "[0,1]", "Not below the root", "k1"), (2, 2, "[0]", "A", "k0"),
+        *((3, 1000 + k, str(deep[: k + 1]), f"n{k}", f"k{k}") for k in range(70)),
+    ]
+    f = spark.createDataFrame(rows, FOLDERS).withColumn("address", C.parsed_address())
+    got = {(r.store_id, tuple(r.address)): (r.location, r.folder_path, r.error) for r in C.paths_by_address(f).collect()}
+    ipm, root, bad = "ipm_subtree", "store_root", "invalid folder hierarchy"
+    assert {k[1]: v for k, v in got.items() if k[0] == 1} == {
+        (0, 1): (ipm, ["Recovered Folder 9"], None), (0, 1, 2): (ipm, ["Recovered Folder 9", "Twin"], None), (0, 1, 9): (ipm, ["Recovered Folder 9", "Not direct"], None), (0, 4): (ipm, ["Bin"], None), (0, 7): (ipm, ["Bin"], None),
+        (3, 1): (root, None, bad), (5,): (root, ["Views"], None), (5, 4): (root, ["Views", "At root"], None), (6,): (root, ["Odd"], None), (8,): (root, ["Search"], None),
+    }
+    assert got[2, (0, 1)] == (root, ["A", "Not below the root"], None)
+    assert got[3, tuple(deep[:64])][2] is None and len(got[3, tuple(deep[:64])][1]) == 64 and got[3, tuple(deep[:65])] == (root, None, bad)
+    assert [(r.store_id, list(r.address)) for r in C.deleted_items(f).collect()] == [(1, [0, 4])]
+    s = {(r.location, tuple(r.folder_path)): (r.source_id, r.role, r.omitted) for r in C.folder_set(f).where("store_id = 1").collect()}
+    assert s == {
+        (ipm, ("Recovered Folder 9",)): (9, "ordinary", 0), (ipm, ("Recovered Folder 9", "Twin")): (10, "ordinary", 1), (ipm, ("Recovered Folder 9", "Not direct")): (S.DELETED_ITEMS, "ordinary", 0),
+        (ipm, ("Bin",)): (S.DELETED_ITEMS, "deleted_items", 1), (root, ("Views",)): (34, "ordinary", 0), (root, ("Views", "At root")): (S.DELETED_ITEMS, "ordinary", 0),
+    }
+    assert C.folder_set(f.limit(0)).count() == C.paths_by_address(f.limit(0)).count() == 0
+
+
+def test_paths_by_parent(spark):
+    rows = [(1, 1, None, "Root", []), (1, S.IPM_SUBTREE, 1, "Top", [0]), (1, 9, S.IPM_SUBTREE, "A", [0, 1]), (1, 10, 9, "", None), (1, 20, 99, "B", None), (1, 30, 31, "C", None), (1, 31, 30, "D", None), (1, 32, 31, "E", None)]
+    rows += [(2, k, k - 1 if k else None, f"n{k}", None) for k in range(66)]
+    f = spark.createDataFrame(rows, "store_id bigint, source_id bigint, parent_source_id bigint, name string, address array<int>")
+    paths = C.paths_by_parent(f)
+    got = {(r.store_id, r.source_id): (r.folder_path, r.error) for r in paths.collect()}
+    bad = (None, "invalid folder hierarchy")
+    assert {k[1]: v for k, v in got.items() if k[0] == 1} == {1: ([], None), S.IPM_SUBTREE: ([], None), 9: (["A"], None), 10: (["A", "Recovered Folder 10"], None), 20: (["Recovered Folder 99", "B"], None), 30: bad, 31: bad, 32: bad}
+    assert len(got[2, 63][0]) == 64 and got[2, 64] == bad and got[2, 65] == bad
+    m = spark.createDataFrame([(1, 1, None, "orphan"), (1, 2, 1, "normal"), (1, 3, 10, "normal"), (1, 4, 77, "normal"), (1, 5, 30, "normal"), (3, 6, 9, "fragment")], "store_id bigint, seq bigint, folder_id bigint, provenance string")
+    filed = {r.seq: (r.folder_path, r.error) for r in C.filed(m, paths).collect()}
+    assert filed == {1: (["Orphan Mail"], None), 2: (["Unfiled Mail"], None), 3: (["A", "Recovered Folder 10"], None), 4: (["Recovered Folder 77"], None), 5: bad, 6: (["Recovered Folder 9"], None)}
+
+
+def test_display_names(spark):
+    m = spark.createDataFrame([(1, "D", "S"), (2, "", "S"), (3, None, "S"), (4, None, ""), (5, "", None)], "seq bigint, display_name string, subject string")
+    assert {r.seq: (r.display_name, r.how) for r in C.display_names(m).collect()} == {1: ("D", "kept"), 2: ("S", "derived"), 3: ("S", "derived"), 4: ("(no subject)", "generated"), 5: ("(no subject)", "generated")}
+
+
+def test_rejection_counts(spark):
+    c = spark.createDataFrame([(1, k, s) for k, s in (("a", "unsupported"), ("b", "unsupported"), ("c", "unsupported"), ("d", "spooled"), ("e", "spooled"), ("f", "unsupported"))], "store_id bigint, item_key string, status string")
+    e = spark.createDataFrame([(1, "a", "output_unrepresentable", '{"category": "x"}'), (1, "b", "output_unrepresentable", "{}"), (1, "b", "output_unrepresentable", "{}"), (1, "d", "output_unrepresentable", "{}"), (1, "e", "recipient", None), (1, "f", "output_unrepresentable", "no json")], "store_id bigint, item_key string, kind string, metadata_json string")
+    got = {(r.rule, r.category): r.n for r in L.rejection_counts(c, e).collect()}
+    assert got == {("counted", "x"): 1, ("counted", "-"): 1, ("several events", "-"): 1, ("no event", "-"): 1, ("not rejected", "-"): 1}
+
+
+def test_long_chains_are_an_error_and_cycles_end(spark):
+    edges = spark.createDataFrame([(1, f"n{k + 1}", f"n{k}") for k in range(4)] + [(1, "n1", "n0")], "store_id bigint, k string, parent string")
+    seeds = spark.createDataFrame([(1, "n0")], "store_id bigint, k string")
+    assert {r.k: r.depth for r in R.descend(seeds, edges, ["store_id", "k"]).collect()} == {f"n{k}": k for k in range(5)}
+    with pytest.raises(ValueError):
+        R.descend(seeds, edges, ["store_id", "k"], most=3)
+
+
+def test_prefix_join(spark):
     mails = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None)], "m int, folder_path array<string>")
     fol = spark.createDataFrame([("f", ["a"]), ("g", ["a", "b"]), ("h", ["b"])], "n string, folder_path array<string>")
     assert sorted((r.m, r.n) for r in L.prefix_join(mails, fol).collect()) == [(1, "f"), (1, "g")]
