@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlode.operators import nested as N
-from postlode.session import checkpointed, table
+from postlode.session import table, written
 
 #: Columns of the flat tables, by kind of node: fields of the object, some of them in objects of its own.
 FIELDS = {
@@ -22,7 +22,7 @@ def _occurrences(spark: SparkSession, sf: str) -> DataFrame:
 
 def _unfolded(spark: SparkSession, sf: str) -> DataFrame:
     """All places of all objects, each object being stored once and joined to its places by its identity."""
-    o = checkpointed(_occurrences(spark, sf))
+    o = written(_occurrences(spark, sf))
     return N.unfolded(N.bridge(o), N.stored_objects(o))
 
 

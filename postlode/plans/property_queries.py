@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlode.operators import canonical as C, nested as N, properties as P
 from postlode.plans import p3_nested as Q
-from postlode.session import checkpointed
+from postlode.session import written
 
 _OWNER = ["mail_id", "parent_path"]
 
 
 def _objects(spark: SparkSession, sf: str) -> DataFrame:
-    return checkpointed(Q._occurrences(spark, sf))
+    return written(Q._occurrences(spark, sf))
 
 
 def properties(spark: SparkSession, sf: str) -> DataFrame:
