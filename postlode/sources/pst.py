@@ -4,8 +4,8 @@
     spark.read.format("pst").option("table", "messages").load("/data/*.pst")
 
 Tables: stores, folders, messages, recipients, attachments, properties, nodes, updates, named_properties, issues. A file is split by ranges of node ids, so one
-large store is read by many tasks; each descends the B-trees for the nodes it needs and holds a few pages. A broken node gives a row
-of the issues table instead of failing the scan. Options: ``payload`` none, prefix or full with ``prefix_bytes`` (property and
+large store is read by many tasks; ranges are told from the inner pages of the node tree, and each task descends to its own and holds a few
+pages. A broken node, or a folder whose list of messages can't be read, gives a row of the issues table instead of failing the scan. Options: ``payload`` none, prefix or full with ``prefix_bytes`` (property and
 attachment bytes are only cut out as far as asked for), ``nodes_per_task``, ``substitution`` and ``keys`` (the coding tables as
 hexadecimal, 256 and 3 x 256 bytes; files coded that way can't be read without), ``mode`` balanced or aggressive (also takes message
 nodes that no folder lists, as orphans).
@@ -95,14 +95,28 @@ class Store:
             form = {0x81: f"<{self.word * 3}I", 0x80: f"<{self.word * 2}HH"}[kind]
         return level, [struct.unpack_from(form, raw, i * size) for i in range(count)]
 
-    def _leaves(self, at: int) -> Iterator[tuple]:
+    def _leaves(self, at: int, first: int = 0, last: int = 1 << 64) -> Iterator[tuple]:
+        """Entries with keys from first to below last; pages outside are not read."""
         todo = [at]
         while todo:
             level, entries = self.page(todo.pop())
             if level:
-                todo += [e[2] for e in reversed(entries)]
+                ends = [e[0] for e in entries[1:]] + [last]
+                todo += [e[2] for e, end in reversed(list(zip(entries, ends, strict=True))) if e[0] < last and end > first]
             else:
-                yield from entries
+                yield from (e for e in entries if first <= (e[0] & 0xFFFFFFFF) < last)
+
+    def cuts(self, step: int) -> list[int]:
+        """Node ids that part the node tree into ranges of about step nodes, told from its inner pages alone."""
+        keys, todo, per = [], [self.nbt], 1
+        while todo:
+            level, entries = self.page(todo.pop())
+            if level == 1:
+                per = max(per, 488 // 32 if self.wide else 496 // 16)
+                keys += [e[0] & 0xFFFFFFFF for e in entries]
+            elif level:
+                todo += [e[2] for e in reversed(entries)]
+        return keys[max(1, step // per) :: max(1, step // per)]
 
     def _find(self, at: int, key: int) -> tuple | None:
         while True:
@@ -114,9 +128,9 @@ class Store:
                 return None
             at = below[-1][2]
 
-    def nodes(self) -> Iterator[tuple[int, int, int, int]]:
-        """(nid, data block, subnode block, parent) of every node in key order."""
-        for nid, data, sub, parent in self._leaves(self.nbt):
+    def nodes(self, ids: range = range(1 << 32)) -> Iterator[tuple[int, int, int, int]]:
+        """(nid, data block, subnode block, parent) of the nodes in a range of ids, in key order."""
+        for nid, data, sub, parent in self._leaves(self.nbt, ids.start, ids.stop):
             yield nid & 0xFFFFFFFF, data, sub, parent
 
     def node(self, nid: int) -> tuple[int, int] | None:
@@ -162,6 +176,17 @@ class Store:
         for child in struct.unpack_from(f"<{count}{self.word}", raw, 8):
             yield from self.blocks(child, depth + 1)
 
+    def data_size(self, bid: int) -> int:
+        """Bytes of a data tree, from its header or, of a single block, from its entry: no data is read."""
+        if not bid:
+            return 0
+        if bid & 2:
+            return struct.unpack_from("<I", self.block(bid), 4)[0]
+        e = self._find(self.bbt, bid & ~1)
+        if e is None:
+            raise FormatError(f"no block {bid:#x}")
+        return e[2]
+
     def subnodes(self, bid: int) -> dict[int, tuple[int, int]]:
         """{nid: (data, sub)} of a subnode tree."""
         out: dict[int, tuple[int, int]] = {}
@@ -216,7 +241,11 @@ class Heap:
         return out
 
     def size(self, hnid: int) -> int:
-        return len(self.item(hnid)) if hnid & 0x1F == 0 else sum(map(len, self.store.blocks(self.subs[hnid][0])))
+        if hnid & 0x1F == 0:
+            return len(self.item(hnid))
+        if hnid not in self.subs:
+            raise FormatError(f"no subnode {hnid:#x}")
+        return self.store.data_size(self.subs[hnid][0])
 
     def records(self, hid: int) -> Iterator[tuple[bytes, bytes]]:
         head = self.item(hid)
@@ -341,15 +370,16 @@ class Scan:
             for row in h.rows() if h else ():
                 yield row["row"], associated
 
-    def top_messages(self, ids: range) -> Iterator[tuple[int, str, int, bool]]:
-        """(message, provenance, folder, associated): those folders list, and in aggressive mode message nodes that none does."""
-        parents = {n: p for n, _, _, p in self.store.nodes() if n & 0x1F in (4, 8) and n in ids}
+    def top_messages(self, ids: range, issues: list) -> Iterator[tuple[int, str, int, bool]]:
+        """(message, provenance, folder, associated): those folders list, and in aggressive mode message nodes that none does. A folder whose
+        list can't be read is an issue, with how many of its messages in the range are not listed for it."""
+        parents = {n: p for n, _, _, p in self.store.nodes(ids) if n & 0x1F in (4, 8)}
         listed: dict[int, tuple[int, bool]] = {}
         for folder in {p for p in parents.values() if p & 0x1F in (2, 3)}:
             try:
-                listed |= {m: (folder, a) for m, a in self.listed(folder)}
-            except (FormatError, struct.error, IndexError):
-                continue
+                listed |= {m: (folder, a) for m, a in self.listed(folder) if m in parents}
+            except (FormatError, struct.error, IndexError) as e:
+                issues.append((self.path, folder, f"contents of the folder: {e}; {sum(p == folder for p in parents.values())} messages from {ids.start:#x} on not listed"[:300]))
         for n, p in parents.items():
             if n in listed:
                 yield n, "normal", listed[n][0], listed[n][1]
@@ -358,7 +388,7 @@ class Scan:
 
     def messages(self, ids: range, issues: list) -> Iterator[tuple]:
         """(row, heap, bag) of messages and those embedded in them, parents first. Ids of embedded messages are their subnode ids."""
-        for n, provenance, folder, associated in self.top_messages(ids):
+        for n, provenance, folder, associated in self.top_messages(ids, issues):
             todo = [(n, lambda n=n: self.heap(n), None, None, [])]
             while todo:
                 nid, opened, parent, index, way = todo.pop()
@@ -371,9 +401,11 @@ class Scan:
                         _ticks(h.get(bag, 0x0039)), _ticks(h.get(bag, 0x0E06)), bool(cls) and (bool(way) or not cls.lower().startswith("ipm.ole.class.")),
                     )
                     yield row, h, bag
-                    if len(way) < DEEPEST:
-                        for i, a, abag in self.attachments(h):
-                            if 0x3701 in abag and abag[0x3701][0] == 0x000D:
+                    for i, a, abag in self.attachments(h):
+                        if 0x3701 in abag and abag[0x3701][0] == 0x000D:
+                            if len(way) == DEEPEST:
+                                issues.append((self.path, nid, f"messages below {DEEPEST} levels are not read"))
+                            else:
                                 inner = struct.unpack_from("<I", a.value(struct.unpack("<I", abag[0x3701][1])[0]))[0]
                                 if inner in a.subs:
                                     todo.append((inner, lambda a=a, inner=inner: Heap(self.store, *a.subs[inner]), nid, i, [*way, i]))
@@ -390,18 +422,10 @@ class Scan:
         if table == "nodes":
             from postlode.schema import NODE_TYPES
 
-            for n, d, s, p in self.store.nodes():
-                if n in ids:
-                    yield self.path, n, NODE_TYPES.get(n & 0x1F), p, d, s
+            for n, d, s, p in self.store.nodes(ids):
+                yield self.path, n, NODE_TYPES.get(n & 0x1F), p, d, s
         elif table == "folders":
-            for n, _, _, p in self.store.nodes():
-                if n in ids and n & 0x1F in (2, 3):
-                    try:
-                        h = self.heap(n)
-                        bag = h.bag()
-                        yield self.path, n, None if p == n else p, h.get(bag, 0x3001), h.get(bag, 0x3613), h.get(bag, 0x3602), h.get(bag, 0x3617)
-                    except (FormatError, struct.error, IndexError):
-                        continue
+            yield from self.folders(ids, issues)
         else:
             for row, h, bag in self.messages(ids, issues):
                 try:
@@ -409,8 +433,22 @@ class Scan:
                 except (FormatError, struct.error, IndexError, KeyError) as e:
                     issues.append((self.path, row[1], str(e)[:300]))
             if table == "issues":
+                for _ in self.folders(ids, issues):  # for what is wrong with them
+                    pass
                 yield from issues
 
+    def folders(self, ids: range, issues: list) -> Iterator[tuple]:
+        """Rows of the folder nodes in a range; one that can't be read is an issue."""
+        for n, _, _, p in self.store.nodes(ids):
+            if n & 0x1F not in (2, 3):
+                continue
+            try:
+                h = self.heap(n)
+                bag = h.bag()
+                yield self.path, n, None if p == n else p, h.get(bag, 0x3001), h.get(bag, 0x3613), h.get(bag, 0x3602), h.get(bag, 0x3617)
+            except (FormatError, struct.error, IndexError) as e:
+                issues.append((self.path, n, f"folder: {e}"[:300]))
+
     def parts(self, table: str, row: tuple, h: Heap, bag: dict) -> Iterator[tuple]:
         nid = row[1]
         cut = lambda heap, e: None if self.limit == 0 else heap.raw(e, self.limit)
@@ -467,10 +505,10 @@ class PstReader(DataSourceReader):
                 out.append(NodeRange(path, 0, 1 << 32))
                 continue
             try:
-                ids = [n for n, *_ in _opened(path, self.options).nodes()]
+                inner = _opened(path, self.options).cuts(step)
             except (FormatError, struct.error):
-                ids = []
-            cuts = [0, *ids[step::step], 1 << 32]
+                inner = []
+            cuts = [0, *inner, 1 << 32]
             out += [NodeRange(path, a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
         return out
 

@@ -67,3 +67,40 @@ def test_queue_and_named_properties(spark, folder):
     assert [(r.kind, r.first_nid, r.second_nid) for r in u] == [("message_added", 7, 8), (None, 5, 0)]
     p = read(spark, folder, "named_properties").where("path like '%a.pst'").orderBy("property_id").collect()
     assert [(r.property_id, r.property_set, r.number, r.name) for r in p] == [(0x8000, bytes(range(16)).hex(), 0x8501, None), (0x8001, "2903020000000000c000000000000046", None, "Keywords")]
+
+
+def test_a_folder_that_cannot_be_read_is_an_issue(monkeypatch):
+    data = bytearray(pst_encoder.store(5, orphan=False))
+    data[data.index("Inbox".encode("utf-16-le"))] ^= 0xFF
+    everything = range(1 << 32)
+    scan = pst.Scan(pst.Store(bytes(data)), "p")
+    assert [r[3] for r in scan.rows("folders", everything)] == ["Root"]
+    assert [i[1] for i in scan.rows("issues", everything) if i[2].startswith("folder:")] == [pst_encoder.INBOX]
+    scan = pst.Scan(pst.Store(pst_encoder.store(5, orphan=False)), "p")
+
+    def broken(folder):
+        raise pst.FormatError("no table")
+
+    monkeypatch.setattr(scan, "listed", broken)
+    assert list(scan.rows("messages", everything)) == []
+    assert [i[1:] for i in scan.rows("issues", everything)] == [(pst_encoder.INBOX, "contents of the folder: no table; 5 messages from 0x0 on not listed")]
+
+
+def test_ranges_come_from_inner_pages_and_cover_all_nodes():
+    store = pst.Store(pst_encoder.store(200))
+    whole = [n for n, *_ in store.nodes()]
+    for step in (1, 10, 50, 10_000):
+        cuts = [0, *store.cuts(step), 1 << 32]
+        assert cuts == sorted(cuts)
+        assert [n for a, b in zip(cuts, cuts[1:], strict=False) for n, *_ in store.nodes(range(a, b))] == whole
+    read, page = [], store.page
+    store.page = lambda at: read.append(at) or page(at)
+    first = list(store.nodes(range(whole[0], whole[1])))
+    assert len(first) == 1 and len(read) <= 3
+
+
+def test_sizes_need_no_data():
+    store = pst.Store(pst_encoder.store(2))
+    blocks = [b for _, b, _, _ in store.nodes()]
+    want = [sum(map(len, store.blocks(b))) for b in blocks]
+    assert [store.data_size(b) for b in blocks] == want and store.data_size(0) == 0
