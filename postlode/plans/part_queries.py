@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postlode.operators import parts as P
 from postlode.plans import ledger as B
 from postlode.session import checkpointed, shared_folder
 
-_PART = (F.floor(F.col("seq") / 50) + 1).cast("int").alias("part_index")
+
+def _part() -> Column:
+    return (F.floor(F.col("seq") / 50) + 1).cast("int").alias("part_index")
+
+
 #: What a part's record in a report and its record in the ledger must have alike.
 COLUMNS = ["filename", "byte_len", "sha256", "folder_count", "message_count", "oversize", "partial", "omitted_folders", "omitted_properties", "omitted_attachments"]
 
 
 def _spooled(spark: SparkSession, sf: str) -> DataFrame:
-    return B.candidates(spark, sf).where("status = 'spooled'").select("store_id", _PART, "item_key", "provenance", "message_class")
+    return B.candidates(spark, sf).where("status = 'spooled'").select("store_id", _part(), "item_key", "provenance", "message_class")
 
 
 def published(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,7 +36,7 @@ def published(spark: SparkSession, sf: str) -> DataFrame:
 def committed(spark: SparkSession, sf: str) -> DataFrame:
     """How many candidates each state has once parts are committed, and how many items were refused, by rule."""
     c = checkpointed(B.candidates(spark, sf))
-    item = lambda where, p=_PART: c.where(where).select("store_id", p, "item_key")
+    item = lambda where, p=None: c.where(where).select("store_id", _part() if p is None else p, "item_key")
     items = item("status = 'spooled'").unionByName(item("status = 'written' and seq % 83 = 0")).unionByName(item("status = 'spooled' and seq % 89 = 0", F.lit(0).alias("part_index"))).unionByName(c.select("store_id").distinct().select("store_id", F.lit(1).alias("part_index"), F.lit("missing:item").alias("item_key")))
     after, refused = P.committed(c, items)
     return after.groupBy("status").agg(F.count("*").alias("n")).select(F.lit("status").alias("of"), F.col("status").alias("what"), "n").unionByName(refused.groupBy("rule").agg(F.count("*").alias("n")).select(F.lit("refused").alias("of"), F.col("rule").alias("what"), "n"))
@@ -42,7 +46,7 @@ def part_zip(spark: SparkSession, sf: str) -> DataFrame:
     """Parts whose record in the report is not that of the ledger, with the columns that differ. The report has one part in five with a
     mail too many, one in eleven without a name, and one in thirteen not at all."""
     c = B.candidates(spark, sf).where("status = 'written'")
-    ledger = c.groupBy("store_id", _PART).agg(
+    ledger = c.groupBy("store_id", _part()).agg(
         F.max("item_key").alias("last"), F.sum("seq").alias("byte_len"), F.countDistinct("folder_id").alias("folder_count"), F.count("*").alias("message_count"), (F.count_if(F.col("completeness") == "partial") > 0).alias("partial"),
         F.count_if(F.col("folder_id").isNull()).alias("omitted_folders"), F.count_if(F.col("message_class").isNull()).alias("omitted_properties"), F.count_if(F.col("completeness") == "damaged").alias("omitted_attachments"),
     ).select("*", F.format_string("part-%04d", "part_index").alias("filename"), F.sha2("last", 256).alias("sha256"), F.when(F.col("part_index") % 7 == 0, 1).otherwise(0).alias("oversize"))
