@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from postlode.functions.mapi import signature_column
 from postlode.operators import ledger as L, packing as P, reports as R
 from postlode.plans import ledger as B
 from postlode.session import table
@@ -51,12 +52,12 @@ QUERIES = {
     "J15_reconciliation": reconciliation,
     "U03_A04_distinct_json_values": lambda spark, sf: events(spark, sf).select(F.get_json_object("props", "$.k").alias("k")).distinct(),
     "F36_P07_json_types": lambda spark, sf: events(spark, sf).groupBy("event_type").agg(F.count_if(F.expr("schema_of_variant(try_parse_json(props)) like 'OBJECT%'")).alias("objects"), F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("k_sum")),
-    "S30_F09_text_bytes": lambda spark, sf: table(spark, sf, "documents").groupBy("source").agg(F.count("text").alias("texts"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.max(F.octet_length("text")), F.lit(0)).alias("peak"), F.sum(F.ceil(F.octet_length("text") / 65536)).alias("chunks")),
+    "S30_F09_text_bytes": lambda spark, sf: table(spark, sf, "documents").groupBy("source").agg(F.count("text").alias("texts"), F.count_if(F.is_valid_utf8("text")).alias("valid_utf8"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.max(F.octet_length("text")), F.lit(0)).alias("peak"), F.sum(F.ceil(F.octet_length("text") / 65536)).alias("chunks")),
     "A23_K05_document_hashes": lambda spark, sf: table(spark, sf, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")),
     "U05_skip_units": lambda spark, sf: _distinct(spark, sf, "messages").select("store_id", "folder_id").distinct().join(_distinct(spark, sf, "folders").select("store_id", F.col("source_id").alias("folder_id")), ["store_id", "folder_id"], "left_anti"),
-    "U06_sorted_sets": lambda spark, sf: _distinct(spark, sf, "messages").where("not supported").groupBy("store_id").agg(F.array_join(F.array_sort(F.array_distinct(F.collect_list(F.coalesce("message_class", F.lit("-"))))), ",").alias("classes")),
-    "F39_part_names": lambda spark, sf: table(spark, sf, "orders").select((F.col("o_orderkey") % 20000).alias("i")).distinct().select("i", F.format_string("part-%04d.pst", "i").alias("filename")),
-    "S10_block_signatures": lambda spark, sf: table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.expr("cast(shiftright((l_orderkey * 64 ^ l_partkey * 65537) & 4294967295, 16) ^ ((l_orderkey * 64 ^ l_partkey * 65537) & 65535) as int)").alias("signature")),
+    "U06_sorted_sets": lambda spark, sf: _distinct(spark, sf, "messages").where("not supported").groupBy("store_id").agg(F.array_join(F.array_sort(F.collect_set(F.coalesce("message_class", F.lit("-")))), ",").alias("classes")),
+    "F39_part_names": lambda spark, sf: table(spark, sf, "orders").select(F.col("o_orderkey").alias("i")).distinct().select("i", F.format_string("part-%04d.pst", "i").alias("filename")),
+    "S10_block_signatures": lambda spark, sf: table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", signature_column("l_orderkey * 64", "l_partkey * 65537").alias("signature")),
     "T12_daily_events": lambda spark, sf: events(spark, sf).groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users")),
 }
 _N = "count(*) FILTER"
@@ -68,11 +69,11 @@ SQL = {
       (SELECT count(*) AS attachments, coalesce(sum(data_size), 0) AS attachment_bytes, coalesce(max(data_size), 0) AS largest_attachment, {_N} (data_size IS NULL) AS incomplete_attachments FROM (SELECT DISTINCT ON (store_id, seq) * FROM attachments))""",
     "U03_A04_distinct_json_values": "SELECT DISTINCT json_extract_string(props, '$.k') AS k FROM events",
     "F36_P07_json_types": "SELECT event_type, count(*) FILTER (json_type(props) = 'OBJECT') AS objects, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k_sum FROM events GROUP BY 1",
-    "S30_F09_text_bytes": "SELECT source, count(text) AS texts, coalesce(sum(strlen(text)), 0) AS bytes, coalesce(max(strlen(text)), 0) AS peak, CAST(sum(ceil(strlen(text) / 65536)) AS BIGINT) AS chunks FROM documents GROUP BY 1",
+    "S30_F09_text_bytes": "SELECT source, count(text) AS texts, count(text) AS valid_utf8, coalesce(sum(strlen(text)), 0) AS bytes, coalesce(max(strlen(text)), 0) AS peak, CAST(sum(ceil(strlen(text) / 65536)) AS BIGINT) AS chunks FROM documents GROUP BY 1",
     "A23_K05_document_hashes": "SELECT sha256(text) AS sha256, count(*) AS copies, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "U05_skip_units": "SELECT DISTINCT store_id, folder_id FROM messages m WHERE NOT EXISTS (SELECT 1 FROM folders f WHERE f.store_id = m.store_id AND f.source_id = m.folder_id)",
     "U06_sorted_sets": "SELECT store_id, array_to_string(list_sort(list(DISTINCT coalesce(message_class, '-'))), ',') AS classes FROM messages WHERE NOT supported GROUP BY 1",
-    "F39_part_names": "SELECT DISTINCT o_orderkey % 20000 AS i, 'part-' || lpad(CAST(o_orderkey % 20000 AS VARCHAR), CAST(greatest(4, length(CAST(o_orderkey % 20000 AS VARCHAR))) AS INT), '0') || '.pst' AS filename FROM orders",
+    "F39_part_names": "SELECT DISTINCT o_orderkey AS i, 'part-' || lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(4, length(CAST(o_orderkey AS VARCHAR))) AS INT), '0') || '.pst' AS filename FROM orders",
     "S10_block_signatures": "SELECT l_orderkey, l_linenumber, CAST(xor(xor(l_orderkey * 64, l_partkey * 65537) & 4294967295 >> 16, xor(l_orderkey * 64, l_partkey * 65537) & 65535) AS INT) AS signature FROM lineitem".replace("xor(l_orderkey * 64, l_partkey * 65537) & 4294967295 >> 16", "((xor(l_orderkey * 64, l_partkey * 65537) & 4294967295) >> 16)"),
     "T12_daily_events": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2",
 }
