@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlode.operators import canonical as C, integrity as I, ledger as L, packing as P, recursion as R
-from postlode.session import checkpointed, table
+from postlode.session import checkpointed, table, written
 
 #: Bytes of a part in the packing queries.
 PART_LIMIT = 16 << 20
@@ -32,6 +32,12 @@ def candidate_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def keyed(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates with their key, but without a parent. They are written once: a query reads them several times over, and a plan that makes
+    them anew each time takes minutes to compile and run."""
+    return written(L.with_occurrence(candidate_rows(spark, sf)).withColumn("item_key", L.item_key()))
+
+
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     return L.with_parent(L.with_occurrence(candidate_rows(spark, sf)).withColumn("item_key", L.item_key()))
 
@@ -172,9 +178,9 @@ def _tree(c: DataFrame) -> DataFrame:
     return R.trees(checkpointed(c.select("store_id", "item_key", "parent_item_key", "status", "source_node_id")), ["spooled", "written", "unsupported"])
 
 
-def _events(f, number: bool = True):
+def _events(f, number: bool = True, of=candidates):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        c = candidates(spark, sf)
+        c = of(spark, sf)
         return f(c, (events if number else unnumbered_events)(spark, sf, c))
 
     return run
@@ -188,6 +194,12 @@ def _event_join(c: DataFrame, e: DataFrame) -> DataFrame:
     return e.join(c.select("store_id", "item_key", "status", "completeness"), ["store_id", "item_key"]).groupBy("status", "kind").agg(F.count("*").alias("events"), F.coalesce(F.sum("byte_len"), F.lit(0)).alias("bytes"))
 
 
+def _rejection_join(c: DataFrame, e: DataFrame) -> DataFrame:
+    """Each event has a number, so counting the events counts their numbers."""
+    rejected = e.where("kind = 'output_unrepresentable'").select("store_id", "item_key", "kind")
+    return c.select("store_id", "item_key", "status").join(rejected, ["store_id", "item_key"], "left").groupBy("status").agg(F.count("*").alias("rows"), F.count("kind").alias("rejections"))
+
+
 def packing_items(spark: SparkSession, sf: str) -> DataFrame:
     """Top-level candidates with folder path, location and payload, for packing."""
     f = table(spark, sf, "folders")
@@ -219,7 +231,7 @@ QUERIES = {
     "W03_W04_event_sequence": _events(lambda c, e: e.select("store_id", "item_key", "sequence", "kind")),
     "J01_events_with_candidates": _events(_event_join, number=False),
     "J02_J03_events_with_blobs": lambda spark, sf: (lambda t: t["candidate_events"].join(t["blobs"].select("store_id", F.col("sha256").alias("blob_sha256"), F.col("byte_len").alias("stored"), "storage_class"), ["store_id", "blob_sha256"], "left").groupBy("kind", "storage_class").agg(F.count("*").alias("events"), F.count_if(F.col("byte_len") == F.col("stored")).alias("equal_length")))(tables(spark, sf)),
-    "J04_candidates_with_rejections": _events(lambda c, e: c.join(e.where("kind = 'output_unrepresentable'").select("store_id", "item_key", "sequence"), ["store_id", "item_key"], "left").groupBy("status").agg(F.count("*").alias("rows"), F.count("sequence").alias("rejections"))),
+    "J04_candidates_with_rejections": _events(_rejection_join, number=False, of=keyed),
     "J06_parts_with_items": lambda spark, sf: (lambda t: t["parts"].join(t["part_items"], ["store_id", "part_index"], "left_semi").select("store_id", "part_index"))(tables(spark, sf)),
     "J09_parent_child": _on(lambda c: c.join(c.select("store_id", F.col("item_key").alias("parent_item_key"), F.col("status").alias("parent_status")), ["store_id", "parent_item_key"]).groupBy("parent_status", "status").agg(F.count("*").alias("n"))),
     "J10_A03_part_item_counts": lambda spark, sf: (lambda t: t["parts"].join(t["part_items"], ["store_id", "part_index"], "left").groupBy("store_id", "part_index", "oversize").agg(F.count("item_key").alias("items")))(tables(spark, sf)),
