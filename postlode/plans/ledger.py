@@ -85,6 +85,12 @@ def events(spark: SparkSession, sf: str, cands: DataFrame) -> DataFrame:
     return L.numbered_events(unnumbered_events(spark, sf, cands))
 
 
+def event_sequence(spark: SparkSession, sf: str) -> DataFrame:
+    """The numbers and kinds of all events. Numbering reads its rows twice, so they are written first, without what numbers don't need."""
+    e = unnumbered_events(spark, sf, keyed(spark, sf)).select("store_id", "item_key", "seq", "kind")
+    return L.numbered_events(written(e)).select("store_id", "item_key", "sequence", "kind")
+
+
 def blobs(spark: SparkSession, sf: str, cands: DataFrame) -> DataFrame:
     return L.with_pack_offsets(L.stored_blobs(unnumbered_events(spark, sf, cands).select("store_id", F.col("blob_sha256").alias("sha256"), "byte_len")))
 
@@ -228,7 +234,7 @@ QUERIES = {
     "A13_tree_sizes": _on(lambda c: R.tree_sizes(_tree(c)).select("store_id", F.col("root").alias("item_key"), "mails", "depth")),
     "W02_first_wins_kept": _on_rows(lambda c: L.first_wins(c)[0].select("store_id", "seq")),
     "W02_first_wins_issues": _on_rows(lambda c: L.first_wins(c)[1].select("store_id", "seq", "source_node_id")),
-    "W03_W04_event_sequence": _events(lambda c, e: e.select("store_id", "item_key", "sequence", "kind")),
+    "W03_W04_event_sequence": event_sequence,
     "J01_events_with_candidates": _events(_event_join, number=False),
     "J02_J03_events_with_blobs": lambda spark, sf: (lambda t: t["candidate_events"].join(t["blobs"].select("store_id", F.col("sha256").alias("blob_sha256"), F.col("byte_len").alias("stored"), "storage_class"), ["store_id", "blob_sha256"], "left").groupBy("kind", "storage_class").agg(F.count("*").alias("events"), F.count_if(F.col("byte_len") == F.col("stored")).alias("equal_length")))(tables(spark, sf)),
     "J04_candidates_with_rejections": _events(_rejection_join, number=False, of=keyed),

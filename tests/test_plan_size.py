@@ -18,3 +18,8 @@ def relations(df) -> int:
 def test_rejections_read_the_keyed_candidates_only(spark):
     df = entry.queries()["J04_candidates_with_rejections"](spark, SF)
     assert relations(df) <= 3 and sum(r["rejections"] for r in df.collect()) > 0
+
+
+def test_the_event_sequence_numbers_events_that_are_there(spark):
+    df = entry.queries()["W03_W04_event_sequence"](spark, SF)
+    assert relations(df) <= 2 and df.where("sequence = 1").count() == df.select("store_id", "item_key").distinct().count() > 0
