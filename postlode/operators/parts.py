@@ -1,9 +1,13 @@
 """Parts of stores, published once: intents, data, and a manifest that makes a part count.
 
-A part is (store_id, part_index). Publishing first writes the intents (what each part shall hold), then the data below the part's keys,
-then the manifest, whose rows are taken from the data as it lies there. A part counts if the manifest has it; whatever a crash leaves
-before that is data nobody reads, and ``reconcile`` finishes or leaves it. All of it is written and read by Spark, below a folder that all
-executors share, so nothing is renamed and the driver touches no file.
+A part is (store_id, part_index). Publishing first writes the intents (what each part shall hold), then the data in the order of the
+parts' keys, then the manifest, whose rows are taken from the data as it lies there. A part counts if the manifest has it; whatever a
+crash leaves before that is data nobody reads, and ``reconcile`` finishes or leaves it. All of it is written and read by Spark, below a
+folder that all executors share, so nothing is renamed and the driver touches no file.
+
+A publication may have hundreds of thousands of small parts, so parts share files: the rows of one lie together in one file, and readers
+of few parts skip the others by the statistics in the files. Files that lie below folders of a part's keys, as earlier publications
+have them, belong to that part.
 
 Defined results for odd input
 -----------------------------
@@ -44,6 +48,17 @@ class Folder:
         except AnalysisException:  # nothing there yet
             return None
 
+    def _data(self, below: str = "") -> DataFrame | None:
+        """The items below the data folder, with the number of their publication."""
+        try:  # no part's folder is looked for by Spark, which would list and hold all of them
+            found = self.spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(f"{self.path}/data{below}")
+        except AnalysisException:  # nothing there yet
+            return None
+        named = lambda key: F.regexp_extract(F.col("_metadata.file_path"), rf".*/{key}=(-?\d+)/", 1).try_cast("bigint")
+        keys = {k: F.coalesce(F.col(k), named(k)) if k in found.columns else named(k) for k in KEY}
+        rest = [c for c in found.columns if c not in KEY]
+        return found.select(*(keys[k].cast(t).alias(k) for k, t in zip(KEY, ("bigint", "int"), strict=True)), *rest, named("publication").cast("int").alias("publication"))
+
     def manifest(self) -> DataFrame:
         """The published parts."""
         found = self._read("manifest", _MANIFEST)
@@ -51,23 +66,24 @@ class Folder:
 
     def read(self) -> DataFrame | None:
         """The items of the published parts; None without any."""
-        data = self._read("data")
-        return None if data is None else data.withColumn("part_index", F.col("part_index").cast("int")).join(self.manifest().select(*KEY, "publication"), [*KEY, "publication"], "left_semi").drop("publication")
+        data = self._data()
+        return None if data is None else data.join(self.manifest().select(*KEY, "publication"), [*KEY, "publication"], "left_semi").drop("publication")
 
     def publish(self, items: DataFrame, parts: DataFrame) -> DataFrame:
         """Publishes parts (KEY, filename, items, oversize) with their items (KEY and columns); returns the manifest rows of this publication.
-        Small parts share a task, and all rows of one are written together."""
+        Small parts share a task and a file, and all rows of one are written together."""
         held = items.where("part_index is not null")
         parts = checkpointed(parts.select("store_id", F.col("part_index").cast("int").alias("part_index"), "filename", F.col("items").cast("bigint").alias("items"), F.col("oversize").cast("int").alias("oversize")))
         taken = parts.join(self.manifest(), KEY, "left_semi").first()
         if taken:
             raise FileExistsError(f"already published: store {taken['store_id']}, {taken['filename']}")
-        if not held.join(parts, KEY, "left_anti").isEmpty() or not parts.join(held, KEY, "left_anti").isEmpty():
+        both = held.select(*KEY).distinct().withColumn("_held", F.lit(True)).join(parts.select(*KEY, F.lit(True).alias("_part")), KEY, "full")
+        if not both.where("_held is null or _part is null").isEmpty():
             raise ValueError("items and parts do not belong together")
         begun = self._read("intents")
         number = 1 + ((begun.agg(F.max("publication")).first()[0] or 0) if begun is not None else 0)
         parts.write.parquet(f"{self.path}/intents/publication={number}")
-        held.hint("rebalance", *KEY).write.mode("overwrite").partitionBy(*KEY).parquet(f"{self.path}/data/publication={number}")
+        held.repartitionByRange(*KEY).sortWithinPartitions(*KEY).write.mode("overwrite").parquet(f"{self.path}/data/publication={number}")
         self.reconcile()
         return self.manifest().where(F.col("publication") == number)
 
@@ -82,11 +98,11 @@ class Folder:
         numbers = [r["publication"] for r in begun.select("publication").distinct().join(done, "publication", "left_anti").orderBy("publication").collect()]
         finished = []
         for n in numbers:
-            data = self._read(f"data/publication={n}")
+            data = self._data(f"/publication={n}")
             if data is None:
                 continue
             intents = self._read(f"intents/publication={n}")
-            there = contents(data.withColumn("part_index", F.col("part_index").cast("int")))
+            there = contents(data.drop("publication"))
             rows = checkpointed(intents.join(there.withColumnRenamed("items", "found"), KEY, "left"))
             if rows.where("not (items <=> found)").isEmpty() and rows.join(self.manifest(), KEY, "left_semi").isEmpty():
                 rows.select(*KEY, "filename", "items", "oversize", "byte_len", "sha256").write.mode("overwrite").parquet(f"{self.path}/manifest/publication={n}")

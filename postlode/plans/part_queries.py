@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postlode.operators import parts as P
 from postlode.plans import ledger as B
-from postlode.session import checkpointed, shared_folder
+from postlode.session import checkpointed, shared_folder, written
 
 
 def _part() -> Column:
@@ -20,12 +20,12 @@ COLUMNS = ["filename", "byte_len", "sha256", "folder_count", "message_count", "o
 
 
 def _spooled(spark: SparkSession, sf: str) -> DataFrame:
-    return B.candidates(spark, sf).where("status = 'spooled'").select("store_id", _part(), "item_key", "provenance", "message_class")
+    return B.keyed(spark, sf).where("status = 'spooled'").select("store_id", _part(), "item_key", "provenance", "message_class")
 
 
 def published(spark: SparkSession, sf: str) -> DataFrame:
     """The manifest after the spooled items were published in parts of 50 numbers each, in two publications, and committed nothing twice."""
-    folder, items = P.Folder(spark, f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}"), checkpointed(_spooled(spark, sf))
+    folder, items = P.Folder(spark, f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}"), written(_spooled(spark, sf))
     for rest in (0, 1):
         some = items.where(F.col("part_index") % 2 == rest)
         folder.publish(some, some.groupBy(*P.KEY).agg(F.count("*").alias("items"), F.lit(0).alias("oversize")).withColumn("filename", F.format_string("part-%04d", "part_index")))

@@ -54,6 +54,29 @@ def test_damage_is_found(spark, tmp_path):
     assert [tuple(r) for r in folder.damaged().collect()] == [(2, 1, "items,byte_len,sha256")]
 
 
+def test_small_parts_share_files(spark, tmp_path):
+    folder, n = P.Folder(spark, str(tmp_path / "out")), 300
+    items = spark.createDataFrame([(s, p, f"{s}:{p}:{k}", None) for s in (-1, 2) for p in range(n) for k in range(2)], ITEM)
+    parts = spark.createDataFrame([(s, p, f"part-{p:04}", 2, 0) for s in (-1, 2) for p in range(n)], PART)
+    assert folder.publish(items, parts).where("items = 2").count() == 2 * n and folder.damaged().isEmpty()
+    files = list((tmp_path / "out/data").rglob("*.parquet"))
+    assert len(files) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = folder.read()
+    assert sorted(map(tuple, held.select(*items.columns).collect())) == sorted(map(tuple, items.collect()))
+    # a part that loses a row, and one that loses all of them
+    kept = held.where("item_key not in ('2:7:0', '-1:9:0', '-1:9:1')").drop("publication").toPandas()
+    spark.createDataFrame(kept, items.schema).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "out/data/publication=1"))
+    assert sorted(map(tuple, folder.damaged().collect())) == [(-1, 9, "missing"), (2, 7, "items,byte_len,sha256")]
+
+
+def test_publications_in_folders_of_their_parts_are_read_beside_others(spark, tmp_path):
+    folder, (items, parts) = P.Folder(spark, str(tmp_path / "out")), frames(spark)
+    parts.write.parquet(str(tmp_path / "out/intents/publication=1"))
+    items.write.partitionBy("store_id", "part_index").parquet(str(tmp_path / "out/data/publication=1"))
+    assert folder.reconcile() == [1] and folder.publish(*frames(spark, first=3)).count() == 4
+    assert folder.read().select(*items.columns).exceptAll(items.unionByName(frames(spark, first=3)[0])).isEmpty() and folder.read().count() == 16 and folder.damaged().isEmpty()
+
+
 def test_commit_changes_one_row_an_item(spark):
     c = spark.createDataFrame([(1, "a", "spooled"), (1, "b", "written"), (1, "c", "spooled"), (1, "c", "spooled"), (1, "d", "spooled"), (2, "a", "spooled")], "store_id bigint, item_key string, status string")
     items = spark.createDataFrame([(1, 1, "a"), (1, 1, "b"), (1, 1, "c"), (1, 1, "x"), (1, 1, "d"), (1, 2, "d")], "store_id bigint, part_index int, item_key string")
