@@ -39,7 +39,7 @@ def keyed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return L.with_parent(L.with_occurrence(candidate_rows(spark, sf)).withColumn("item_key", L.item_key()))
+    return L.with_parent(keyed(spark, sf))
 
 
 _CANDIDATES = """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlode.operators import canonical as C, packing as P, recursion as R
 from postlode.plans import ledger as B
-from postlode.session import checkpointed, table
+from postlode.session import checkpointed, table, written
 
 
 def arrival_order(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,9 +37,9 @@ def rejections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def part_folders(spark: SparkSession, sf: str) -> DataFrame:
-    items = B.packing_items(spark, sf)
-    parts = items.select("store_id", "folder_path", (F.floor(F.col("seq") / 500) + 1).cast("int").alias("part_index"))
-    return C.part_folders(parts, items.select("store_id", "folder_path")).withColumn("prefix", F.array_join("prefix", "/"))
+    """Of each part the paths of its items are written once, each once; they are read for the parts and for the folders of whole stores."""
+    parts = written(B.packing_items(spark, sf).select("store_id", "folder_path", (F.floor(F.col("seq") / 500) + 1).cast("int").alias("part_index")).distinct())
+    return C.part_folders(parts, parts.select("store_id", "folder_path")).withColumn("prefix", F.array_join("prefix", "/"))
 
 
 def replays(spark: SparkSession, sf: str) -> DataFrame:

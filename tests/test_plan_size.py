@@ -23,3 +23,14 @@ def test_rejections_read_the_keyed_candidates_only(spark):
 def test_the_event_sequence_numbers_events_that_are_there(spark):
     df = entry.queries()["W03_W04_event_sequence"](spark, SF)
     assert relations(df) <= 2 and df.where("sequence = 1").count() == df.select("store_id", "item_key").distinct().count() > 0
+
+
+def test_part_folders_read_the_paths_of_parts_only(spark):
+    df = entry.queries()["X18_part_folders"](spark, SF)
+    assert relations(df) <= 3 and df.count() == df.distinct().count() > 0
+
+
+def test_candidates_read_the_messages_no_more_once_they_have_keys(spark):
+    from postlode.plans import ledger as B
+
+    assert relations(B.candidates(spark, SF)) <= 7
